@@ -119,13 +119,26 @@ def org_hit(role: str, text: Column, upper: Column) -> Column:
         _hit(role, _ORG_EXT[role], section, "org"))
 
 
+def _maybe_phone(text: Column) -> Column:
+    """Cheap necessary condition of the phone pattern."""
+    return text.rlike(r"(?U)1[\s-]?800|[6-9][0-9]{4}|0[0-9]{2}")
+
+
+def _maybe_email(text: Column) -> Column:
+    return F.contains(text, F.lit("@")) | F.contains(F.lower(text), F.lit("[at]"))
+
+
+def _maybe_date(text: Column) -> Column:
+    return text.rlike(r"(?Ui)[0-9][/.-][0-9]|JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC|MONTH|DAY|WEEK|YEAR")
+
+
 def phone_hit(text: Column, n_blocks: Column, upper: Column) -> Column:
     """EXT10."""
     raw = group(text, V.PHONE, 0)
     contact = found(text, V.CARE_HEADER) | found(text, V.CONTACT_PREFIX)
     toll_free = F.contains(raw, F.lit("1800")) | F.contains(raw, F.lit("1-800"))
     return F.when(
-        text.rlike("[0-9]{3}") & raw.isNotNull() & (toll_free | contact)
+        _maybe_phone(text) & raw.isNotNull() & (toll_free | contact)
         & ~N.is_licence(text) & ~N.has_licence_number(text),
         _hit("CONSUMER_CARE_PHONE", 16, raw, "labelled"))
 
@@ -135,7 +148,7 @@ def email_hit(text: Column, n_blocks: Column, upper: Column) -> Column:
     raw = group(text, V.EMAIL)
     at = F.contains(text, F.lit("@"))
     labelled = at | found(text, V.CARE_HEADER)
-    return F.when((at | _any(upper, "[AT]")) & raw.isNotNull(),
+    return F.when(_maybe_email(text) & raw.isNotNull(),
                   _hit("CONSUMER_CARE_EMAIL", 17, raw, F.when(labelled, "labelled").otherwise("plain")))
 
 
@@ -143,7 +156,8 @@ def care_address_hit(text: Column, is_multi: Column, upper: Column) -> Column:
     """EXT12: several lines under a care header without phone or e-mail."""
     guard = _any(upper, "CONSUMER", "CUSTOMER", "FOR", "CONTACT", "CARE", "HELPLINE")
     return F.when(
-        is_multi & guard & found(text, V.CARE_HEADER) & ~found(text, V.PHONE) & ~found(text, V.EMAIL),
+        is_multi & guard & found(text, V.CARE_HEADER) & ~(_maybe_phone(text) & found(text, V.PHONE))
+        & ~(_maybe_email(text) & found(text, V.EMAIL)),
         _hit("CONSUMER_CARE_ADDRESS", 18, text, "care"))
 
 
@@ -242,10 +256,9 @@ def near_value(id_type: str) -> Column:
         return out
 
     mfd, pkd, bb, exp = (V.DATE_ANCHORS[t] for t in ("DATE_OF_MANUFACTURE", "DATE_OF_PACKING", "BEST_BEFORE", "EXPIRY_DATE"))
-    at = F.contains(text, F.lit("@")) | F.contains(F.lower(text), F.lit("[at]"))
-    date = F.when(~is_any(mfd, pkd, exp), N.norm_date(text, F.lit(None).cast("string")))
+    date = F.when(_maybe_date(text) & ~is_any(mfd, pkd, exp), N.norm_date(text, F.lit(None).cast("string")))
     other = (
-        found(text, V.BATCH, multiline=True) | N.is_nutrition(text) | (at & found(text, V.EMAIL))
+        found(text, V.BATCH, multiline=True) | N.is_nutrition(text) | (_maybe_email(text) & found(text, V.EMAIL))
         | is_any(V.LICENCE_OR_ID, V.CONTACT_PREFIX, mfd, pkd, exp, bb)
     )
     batch = F.when(~other, N.batch_value(text))

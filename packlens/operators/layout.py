@@ -149,6 +149,10 @@ def _masked(blocks: DataFrame, px: int, near: Column | None = None) -> DataFrame
         F.col("y2") + halo >= px, F.array_distinct(F.array("y1", F.col("y1") - halo, F.col("y2") + halo)),
     ).otherwise(F.array("y1"))
     placed = assign_strips(flagged.withColumn("__pos", F.explode(probes)), cuts, "__pos", px)
+    # One explicit shuffle for the whole layout. A block row turns into dozens of spans, so partitions
+    # sized by their few shuffled bytes (as adaptive coalescing would do) leave most cores idle.
+    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.repartition(n, "image_id", "strip")
     part = W.partitionBy("image_id", "strip")
     starts_before = part.orderBy("y1").rangeBetween(W.unboundedPreceding, m)
     starts_after = part.orderBy(F.desc("y1")).rangeBetween(W.unboundedPreceding, -(m + 1))
