@@ -100,31 +100,48 @@ def _transition(event: Column) -> Column:
     return out.otherwise(same)
 
 
-def fold_status(events: DataFrame, buckets: tuple[str, ...] = ("1 minute", "1 day"), start: str = "CREATED") -> DataFrame:
-    """STA3: final status per scan from its ordered events (scan_id, event, ts, seq).
+_IDENTITY = list(range(len(V.SCAN_STATUSES)))
 
-    Transitions compose, so events are folded level by level: per (scan, minute) into one transition
-    table, minutes into days, days into the scan. A scan with a third of all events is spread over
-    its buckets, and what finally meets in one place is nine integers per day.
-    """
-    identity = F.array(*[F.lit(i) for i in range(len(V.SCAN_STATUSES))])
 
-    def compose(ordered: Column) -> Column:
-        return F.aggregate(ordered, identity, lambda acc, e: F.transform(acc, lambda s: F.element_at(e["t"], s + 1)))
+def _fold(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Compose the transition tables ``t`` of every key in the given order."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, "t")))
+    composed = F.aggregate(
+        rows, F.array(*[F.lit(i) for i in _IDENTITY]),
+        lambda acc, e: F.transform(acc, lambda s: F.element_at(e["t"], s + 1)))
+    return df.groupBy(*keys).agg(composed.alias("t"), F.sum("n").alias("n"))
+
 
-    def level(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-        rows = F.array_sort(F.collect_list(F.struct(*order, "t")))
-        return df.groupBy(*keys).agg(compose(rows).alias("t"), F.sum("n").alias("n"))
+def transitions(events: DataFrame, buckets: tuple[str, ...] = ("1 minute", "1 day")) -> DataFrame:
+    """All events of a scan as one transition table (scan_id, t, n). Events: scan_id, event, ts, seq.
 
+    Transitions compose, so events are folded level by level: per (scan, minute) into one table,
+    minutes into days, days into the scan. A scan with a third of all events is spread over its
+    buckets, and what finally meets in one place is nine integers per day.
+    """
     folded = events.select(
         "scan_id", "ts", "seq", _transition(F.col("event")).alias("t"), F.lit(1).cast("bigint").alias("n"))
     order = ["ts", "seq"]
     for width in buckets:
         bucketed = folded.withColumn("bucket", F.window("ts", width)["start"])
-        folded = level(bucketed, ["scan_id", "bucket"], order).withColumnRenamed("bucket", "ts")
+        folded = _fold(bucketed, ["scan_id", "bucket"], order).withColumnRenamed("bucket", "ts")
         order = ["ts"]
-    per_scan = level(folded, ["scan_id"], order)
+    return _fold(folded, ["scan_id"], order)
+
+
+def status_of(tables: DataFrame, start: str = "CREATED") -> DataFrame:
+    """Status a transition table leads to from ``start``."""
     names = F.array(*[F.lit(s) for s in V.SCAN_STATUSES])
-    return per_scan.select(
+    return tables.select(
         "scan_id", F.element_at(names, F.element_at("t", V.SCAN_STATUSES.index(start) + 1) + 1).alias("status"),
         F.col("n").alias("n_events"))
+
+
+def fold_status(events: DataFrame, start: str = "CREATED") -> DataFrame:
+    """STA3: final status per scan from its ordered events."""
+    return status_of(transitions(events), start)
+
+
+def fold_batches(log: DataFrame, start: str = "CREATED") -> DataFrame:
+    """STA3 over a log of per-batch transition tables (scan_id, batch_id, t, n)."""
+    return status_of(_fold(log, ["scan_id"], ["batch_id"]), start)

@@ -373,7 +373,7 @@ FROM {orders} GROUP BY o_orderpriority, year(o_orderdate)"""
 
 @query("rul5_rule_version_as_of", f"WITH v AS ({_VERSIONS.replace('{orders}', 'orders')})" + """
 SELECT o_orderkey AS inspection_id, rule_code, arg_max(rule_version, valid_from) AS rule_version
-FROM (SELECT o_orderkey, 'RULE_' || o_orderpriority AS code, o_orderdate + INTERVAL 40 DAY AS at FROM orders) o JOIN v ON v.rule_code = o.code AND is_active AND valid_from <= at AND (valid_to IS NULL OR at < valid_to) GROUP BY ALL""")
+FROM (SELECT o_orderkey, 'RULE_' || o_orderpriority AS code, o_orderdate + INTERVAL 40 DAY AS seen FROM orders) o JOIN v ON v.rule_code = o.code AND is_active AND valid_from <= seen AND (valid_to IS NULL OR seen < valid_to) GROUP BY ALL""")
 def rul5(spark, d):
     orders = read_table(spark, d, "orders")
     versions = spark.sql(_VERSIONS, orders=orders)
@@ -510,7 +510,7 @@ def _pairs(spark, d) -> DataFrame:
 
 @query("agg13_character_error_rate", f"""
 WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE {_TRUTH} END AS g, {_HYP} AS h FROM part)
-SELECT p_partkey, round(least(1.0, levenshtein(g, h) / length(g)), 4) AS cer FROM t""")
+SELECT p_partkey, CASE WHEN g IS NOT NULL THEN round(least(1.0, levenshtein(g, h) / length(g)), 4) END AS cer FROM t""")
 def agg13(spark, d):
     return EV.error_rates(_pairs(spark, d)).select("p_partkey", "cer")
 
@@ -518,6 +518,6 @@ def agg13(spark, d):
 @query("agg14_word_error_rate", f"""
 WITH t AS (SELECT p_partkey, string_split(CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE {_TRUTH} END, ' ') AS g, [w for w in string_split({_HYP}, ' ') if w <> ''] AS h FROM part),
 v AS (SELECT *, list_distinct(list_concat(g, h)) AS vocab FROM t)
-SELECT p_partkey, round(least(1.0, levenshtein(array_to_string([chr(48 + CAST(list_position(vocab, w) AS INT)) for w in g], ''), array_to_string([chr(48 + CAST(list_position(vocab, w) AS INT)) for w in h], '')) / len(g)), 4) AS wer FROM v""")
+SELECT p_partkey, CASE WHEN g IS NOT NULL THEN round(least(1.0, levenshtein(array_to_string([chr(48 + CAST(list_position(vocab, w) AS INT)) for w in g], ''), array_to_string([chr(48 + CAST(list_position(vocab, w) AS INT)) for w in h], '')) / len(g)), 4) END AS wer FROM v""")
 def agg14(spark, d):
     return EV.error_rates(_pairs(spark, d)).select("p_partkey", "wer")

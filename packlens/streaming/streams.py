@@ -5,14 +5,12 @@ State stores, watermarks and exactly-once bookkeeping are Spark's; checkpoints l
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from packlens.operators.review import STATUS_EVENTS, upsert_declarations
+from packlens.operators.review import transitions, upsert_declarations
 from packlens.session import shared_folder
 
 
@@ -29,32 +27,17 @@ def action_trend(events: DataFrame, ts: str = "ts", width: str = "1 hour", delay
     )
 
 
-class ScanStatusProcessor(StatefulProcessor):
-    """Current status per scan; a micro-batch is applied in event order within the scan.
+def status_batches(log_path: str) -> Callable[[DataFrame, int], None]:
+    """STA3 as a ``foreachBatch`` sink: each micro-batch becomes one transition table per scan.
 
-    Rows arrive in pieces of Arrow batches; the state keeps one string, whatever the number of events.
+    The log holds nine integers per scan and batch whatever the number of events; a repeated batch
+    overwrites its own folder. Read it with :func:`packlens.operators.review.fold_batches`.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("status", "status string, n bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        status, n = self._state.get() if self._state.exists() else ("CREATED", 0)
-        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        for event in batch["event"]:
-            status = STATUS_EVENTS.get(event, {}).get(status, status)
-        n = int(n) + len(batch)
-        self._state.update((status, n))
-        yield pd.DataFrame({"scan_id": [key[0]], "status": [status], "n_events": [n]})
-
-    def close(self) -> None:
-        pass
-
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        transitions(batch).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
 
-def status_stream(events: DataFrame) -> DataFrame:
-    """STA3 as a stream: one update per scan and micro-batch (scan_id, event, ts, seq)."""
-    return events.groupBy("scan_id").transformWithStateInPandas(
-        ScanStatusProcessor(), "scan_id bigint, status string, n_events bigint", "Update", "None")
+    return apply
 
 
 def upsert_batches(existing_path: str) -> Callable[[DataFrame, int], None]:
@@ -75,6 +58,15 @@ def upsert_batches(existing_path: str) -> Callable[[DataFrame, int], None]:
     return apply
 
 
+def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Run a finite stream through a batch sink until its input is used up."""
+    query = (
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
 def run_to_table(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Drain a finite stream into a Parquet table of the shared folder and read it back."""
     folder = shared_folder(spark)
@@ -83,7 +75,7 @@ def run_to_table(spark: SparkSession, stream: DataFrame, mode: str = "append") -
         writer = stream.writeStream.format("parquet").outputMode("append").option("path", path)
     else:
         def sink(batch: DataFrame, batch_id: int) -> None:
-            batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/b={batch_id}")
+            batch.write.mode("overwrite").parquet(path)
 
         writer = stream.writeStream.outputMode(mode).foreachBatch(sink)
     query = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
