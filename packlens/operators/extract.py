@@ -42,6 +42,15 @@ def _any(upper: Column, *parts: str) -> Column:
     return out
 
 
+def _guarded(guard: Column, found_hit: Column) -> Column:
+    """Evaluate ``found_hit`` only where the cheap guard holds.
+
+    A nested conditional, not ``guard & ...``: both sides of an AND take part in common-subexpression
+    elimination and would be computed for every span.
+    """
+    return F.when(guard, found_hit)
+
+
 def _has_digit(text: Column) -> Column:
     return text.rlike("[0-9]")
 
@@ -56,10 +65,10 @@ def price_hit(text: Column, n_blocks: Column, upper: Column) -> Column:
     weight = N.is_weight_context(text) | found(text, V.SMALL_WEIGHT)
     guard = _has_digit(text)
     return F.coalesce(
-        F.when(guard & _any(upper, "PRICE", "MRP", "M.R", "MR.P") & labelled.isNotNull(),
-               _hit("MRP", 0, labelled, "labelled")),
-        F.when(guard & (n_blocks <= 2) & _any(upper, "₹", "RS", "INR") & bare.isNotNull() & ~weight & ~date_near,
-               _hit("MRP", 0, bare, "currency")),
+        _guarded(guard & _any(upper, "PRICE", "MRP", "M.R", "MR.P"),
+                 F.when(labelled.isNotNull(), _hit("MRP", 0, labelled, "labelled"))),
+        _guarded(guard & (n_blocks <= 2) & _any(upper, "₹", "RS", "INR"),
+                 F.when(bare.isNotNull() & ~weight & ~date_near, _hit("MRP", 0, bare, "currency"))),
     )
 
 
@@ -68,14 +77,15 @@ def quantity_hit(text: Column, n_blocks: Column, upper: Column) -> Column:
     labelled = group(text, V.QTY_EXPLICIT)
     counted = group(text, V.QTY_COUNT)
     alone, alone_unit = group(text, V.QTY_STANDALONE), group(text, V.QTY_STANDALONE, 2)
-    return F.when(_has_digit(text), F.coalesce(
-        F.when(_any(upper, "=", "EQUAL", "(") & found(text, V.QTY_MULTIPACK), _hit("NET_QUANTITY", 1, text, "multipack")),
-        F.when(_any(upper, "NET", "NW", "N.W", "NV", "N.V") & labelled.isNotNull(),
-               _hit("NET_QUANTITY", 1, labelled, "labelled", group(text, V.QTY_EXPLICIT, 2))),
-        F.when((n_blocks <= 2) & counted.isNotNull(),
-               _hit("NET_QUANTITY", 1, counted, "counted", group(text, V.QTY_COUNT, 2))),
-        F.when((n_blocks <= 2) & alone.isNotNull() & (F.lower(alone_unit) != "mg"),
-               _hit("NET_QUANTITY", 1, alone, "alone", alone_unit)),
+    return _guarded(_has_digit(text), F.coalesce(
+        _guarded(_any(upper, "=", "EQUAL", "("),
+                 F.when(found(text, V.QTY_MULTIPACK), _hit("NET_QUANTITY", 1, text, "multipack"))),
+        _guarded(_any(upper, "NET", "NW", "N.W", "NV", "N.V"),
+                 F.when(labelled.isNotNull(), _hit("NET_QUANTITY", 1, labelled, "labelled", group(text, V.QTY_EXPLICIT, 2)))),
+        _guarded(n_blocks <= 2,
+                 F.when(counted.isNotNull(), _hit("NET_QUANTITY", 1, counted, "counted", group(text, V.QTY_COUNT, 2)))),
+        _guarded(n_blocks <= 2,
+                 F.when(alone.isNotNull() & (F.lower(alone_unit) != "mg"), _hit("NET_QUANTITY", 1, alone, "alone", alone_unit))),
     ))
 
 
@@ -83,7 +93,7 @@ def country_hit(text: Column, n_blocks: Column, upper: Column) -> Column:
     """EXT7."""
     raw = group(text, V.COUNTRY_ORIGIN)
     guard = _any(upper, "ORIGIN", "MADE", "PRODUCT", "MANUFACTURED")
-    return F.when(guard & raw.isNotNull(), _hit("COUNTRY_OF_ORIGIN", 2, raw, "labelled"))
+    return _guarded(guard, F.when(raw.isNotNull(), _hit("COUNTRY_OF_ORIGIN", 2, raw, "labelled")))
 
 
 _DATE_GUARD = {
@@ -95,14 +105,13 @@ _DATE_GUARD = {
 def date_hit(dtype: str, text: Column, upper: Column) -> Column:
     """EXT8: anchor with up to 40 following characters; relative shelf life counts as best-before."""
     pattern = V.DATE_ANCHORS[dtype]
-    anchored = F.when(
-        _any(upper, *_DATE_GUARD[dtype]) & group(text, pattern, 0).isNotNull(),
-        _hit(dtype, _DATE_EXT[dtype], F.regexp_extract(text, "(?Uid)" + pattern, 1), "date"))
+    anchored = _guarded(_any(upper, *_DATE_GUARD[dtype]), F.when(
+        found(text, pattern), _hit(dtype, _DATE_EXT[dtype], F.regexp_extract(text, "(?Uid)" + pattern, 1), "date")))
     if dtype != "BEST_BEFORE":
         return anchored
     number = group(text, V.RELATIVE_DATE)
-    return F.coalesce(anchored, F.when(
-        _any(upper, "FROM", "OF") & number.isNotNull(), _hit(dtype, _DATE_EXT[dtype], number, "date")))
+    return F.coalesce(anchored, _guarded(
+        _has_digit(text) & _any(upper, "FROM", "OF"), F.when(number.isNotNull(), _hit(dtype, _DATE_EXT[dtype], number, "date"))))
 
 
 _ORG_GUARD = {"MANUFACTURER": ("BY", "MANUFACTURED"), "PACKER": ("BY",), "IMPORTER": ("BY", "IMPORTER"),
@@ -114,9 +123,8 @@ def org_hit(role: str, text: Column, upper: Column) -> Column:
     prefix = V.ORG_PREFIXES[role]
     content = strip(F.regexp_replace(text, "(?Uid)^" + prefix, ""))
     section = strip(F.split(content, r"\n{2,}")[0])
-    return F.when(
-        _any(upper, *_ORG_GUARD[role]) & found(text, prefix) & (content != ""),
-        _hit(role, _ORG_EXT[role], section, "org"))
+    return _guarded(_any(upper, *_ORG_GUARD[role]), F.when(
+        found(text, prefix), F.when(content != "", _hit(role, _ORG_EXT[role], section, "org"))))
 
 
 def _maybe_phone(text: Column) -> Column:
@@ -125,7 +133,7 @@ def _maybe_phone(text: Column) -> Column:
 
 
 def _maybe_email(text: Column) -> Column:
-    return F.contains(text, F.lit("@")) | F.contains(F.lower(text), F.lit("[at]"))
+    return F.contains(text, F.lit("@")) | text.rlike(r"(?i)\[at\]")
 
 
 def _maybe_date(text: Column) -> Column:
@@ -137,41 +145,40 @@ def phone_hit(text: Column, n_blocks: Column, upper: Column) -> Column:
     raw = group(text, V.PHONE, 0)
     contact = found(text, V.CARE_HEADER) | found(text, V.CONTACT_PREFIX)
     toll_free = F.contains(raw, F.lit("1800")) | F.contains(raw, F.lit("1-800"))
-    return F.when(
-        _maybe_phone(text) & raw.isNotNull() & (toll_free | contact)
-        & ~N.is_licence(text) & ~N.has_licence_number(text),
-        _hit("CONSUMER_CARE_PHONE", 16, raw, "labelled"))
+    return _guarded(_maybe_phone(text), F.when(
+        raw.isNotNull() & (toll_free | contact) & ~N.is_licence(text) & ~N.has_licence_number(text),
+        _hit("CONSUMER_CARE_PHONE", 16, raw, "labelled")))
 
 
 def email_hit(text: Column, n_blocks: Column, upper: Column) -> Column:
     """EXT11."""
     raw = group(text, V.EMAIL)
-    at = F.contains(text, F.lit("@"))
-    labelled = at | found(text, V.CARE_HEADER)
-    return F.when(_maybe_email(text) & raw.isNotNull(),
-                  _hit("CONSUMER_CARE_EMAIL", 17, raw, F.when(labelled, "labelled").otherwise("plain")))
+    labelled = F.contains(text, F.lit("@")) | found(text, V.CARE_HEADER)
+    return _guarded(_maybe_email(text), F.when(
+        raw.isNotNull(), _hit("CONSUMER_CARE_EMAIL", 17, raw, F.when(labelled, "labelled").otherwise("plain"))))
 
 
 def care_address_hit(text: Column, is_multi: Column, upper: Column) -> Column:
     """EXT12: several lines under a care header without phone or e-mail."""
     guard = _any(upper, "CONSUMER", "CUSTOMER", "FOR", "CONTACT", "CARE", "HELPLINE")
-    return F.when(
-        is_multi & guard & found(text, V.CARE_HEADER) & ~(_maybe_phone(text) & found(text, V.PHONE))
-        & ~(_maybe_email(text) & found(text, V.EMAIL)),
-        _hit("CONSUMER_CARE_ADDRESS", 18, text, "care"))
+    phone = _guarded(_maybe_phone(text), found(text, V.PHONE))
+    email = _guarded(_maybe_email(text), found(text, V.EMAIL))
+    return _guarded(is_multi & guard, F.when(found(text, V.CARE_HEADER), F.when(
+        ~F.coalesce(phone, F.lit(False)) & ~F.coalesce(email, F.lit(False)), _hit("CONSUMER_CARE_ADDRESS", 18, text, "care"))))
 
 
 def batch_hit(text: Column, n_blocks: Column, upper: Column) -> Column:
     """EXT13."""
     raw = group(text, V.BATCH, multiline=True)
-    return F.when(_any(upper, "BATCH", "LOT", "NO", "BN") & raw.isNotNull(),
-                  _hit("BATCH_OR_LOT_NUMBER", 19, raw, "batch"))
+    return _guarded(_any(upper, "BATCH", "LOT", "NO", "BN"),
+                    F.when(raw.isNotNull(), _hit("BATCH_OR_LOT_NUMBER", 19, raw, "batch")))
 
 
 def commodity_hit(text: Column, n_blocks: Column, upper: Column) -> Column:
     """EXT14."""
     raw = group(text, V.COMMODITY)
-    return F.when(_any(upper, "NAME", "COMMODITY") & raw.isNotNull(), _hit("COMMODITY_NAME", 20, raw, "labelled"))
+    return _guarded(_any(upper, "NAME", "COMMODITY"),
+                    F.when(raw.isNotNull(), _hit("COMMODITY_NAME", 20, raw, "labelled")))
 
 
 def unit_sale_price(text: Column) -> Column:
@@ -256,7 +263,7 @@ def near_value(id_type: str) -> Column:
         return out
 
     mfd, pkd, bb, exp = (V.DATE_ANCHORS[t] for t in ("DATE_OF_MANUFACTURE", "DATE_OF_PACKING", "BEST_BEFORE", "EXPIRY_DATE"))
-    date = F.when(_maybe_date(text) & ~is_any(mfd, pkd, exp), N.norm_date(text, F.lit(None).cast("string")))
+    date = _guarded(_maybe_date(text), F.when(~is_any(mfd, pkd, exp), N.norm_date(text, F.lit(None).cast("string"))))
     other = (
         found(text, V.BATCH, multiline=True) | N.is_nutrition(text) | (_maybe_email(text) & found(text, V.EMAIL))
         | is_any(V.LICENCE_OR_ID, V.CONTACT_PREFIX, mfd, pkd, exp, bb)
