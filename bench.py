@@ -15,8 +15,8 @@ from packlens.session import build_session
 from packlens.sources.corpus import label_blocks
 
 HEADLINE = [
-    "flagship_price_rule", "flagship_label_to_compliance", "lay3_cluster_lines", "jn6_nutrition_mask", "ext0_extract_candidates",
-    "agg1_arbitrate", "agg9_precision_recall", "agg16_kpi_summary", "agg17_violation_breakdown", "agg18_trend", "jn15_checklist",
+    "flagship_price_rule", "flagship_label_to_compliance", "lay3_cluster_lines", "jn6_nutrition_mask", "ext14_commodity_name",
+    "agg9_precision_recall", "agg16_kpi_summary", "agg17_violation_breakdown", "agg18_trend", "jn15_checklist",
     "nlp3_classify_intent", "rul5_rule_version_as_of", "sta1_review_preserving_upsert", "sta3_status_machine",
 ]
 

@@ -17,6 +17,7 @@ from packlens.operators import proximity as P
 from packlens.operators.rules import compliance_summary, evaluate_presence
 from packlens.plans import sql_candidates as Q
 from packlens.plans.registry import query
+from packlens.session import shared_folder
 from packlens.plans.sql_parts import LINES, cap, conf, has, nutrition, rx, spans_sql
 from packlens.sources.corpus import doc_blocks, label_blocks, label_blocks_sql, part_facts, PART_FACTS, sql_tables
 from packlens.sources.tables import read_table
@@ -338,12 +339,29 @@ def ext0_documents(spark, d):
 
 @query("set1_candidate_union", Q.candidates_sql() + "SELECT scan_id, declaration_type, count(*) AS n FROM cand GROUP BY scan_id, declaration_type")
 def set1(spark, d):
-    return E.extract_candidates(label_blocks(spark, d)).groupBy("scan_id", "declaration_type").agg(F.count("*").alias("n"))
+    return candidates_table(spark, d).groupBy("scan_id", "declaration_type").agg(F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------------------- decisions
+_staged: dict[tuple[str, str], str] = {}
+
+
+def candidates_table(spark, d) -> DataFrame:
+    """Candidates as a table in the shared folder, written once per session.
+
+    The decision operators read candidates several times; a written table cuts the lineage, survives
+    lost executors and keeps the span pipeline from running once per reader.
+    """
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _staged:
+        path = shared_folder(spark) + "/candidates"
+        E.extract_candidates(label_blocks(spark, d)).write.parquet(path)
+        _staged[key] = path
+    return spark.read.parquet(_staged[key])
+
+
 def _arbitrated(spark, d) -> DataFrame:
-    return C.arbitrate(E.extract_candidates(label_blocks(spark, d)))
+    return C.arbitrate(candidates_table(spark, d))
 
 
 @query("agg1_arbitrate", ", ".join([Q.candidates_sql(), Q.ARBITRATED]) + f" SELECT {_KEYS} FROM arb")
@@ -423,7 +441,7 @@ def agg6(spark, d):
 SELECT scan_id, declaration_type, raw_value, image_id, confidence FROM (
   SELECT *, row_number() OVER (PARTITION BY scan_id, declaration_type ORDER BY {Q._ORDER}) AS rn FROM cand) q WHERE rn = 1""")
 def win2(spark, d):
-    cand = E.extract_candidates(label_blocks(spark, d))
+    cand = candidates_table(spark, d)
     w = W.partitionBy("scan_id", "declaration_type").orderBy(C.candidate_rank())
     return cand.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(*_MC)
 
@@ -434,7 +452,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, declaration_type ORDER
 LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY scan_id, declaration_type ORDER BY {Q._ORDER}) AS rn FROM cand) s
   ON s.scan_id = b.scan_id AND s.declaration_type = b.declaration_type AND s.rn = 2 WHERE b.rn = 1""")
 def win3(spark, d):
-    cand = E.extract_candidates(label_blocks(spark, d))
+    cand = candidates_table(spark, d)
     w = W.partitionBy("scan_id", "declaration_type").orderBy(C.candidate_rank())
     two = cand.withColumn("rn", F.row_number().over(w)).where("rn <= 2").groupBy("scan_id", "declaration_type").agg(
         F.max(F.when(F.col("rn") == 1, F.col("confidence"))).alias("best"), F.max(F.when(F.col("rn") == 2, F.col("confidence"))).alias("second"))
@@ -475,6 +493,7 @@ SELECT rule_code, CASE WHEN s.scan_id IS NULL THEN 'FAIL' WHEN NOT auto THEN 'RE
 FROM rules CROSS JOIN (SELECT p_partkey AS scan_id FROM part) p LEFT JOIN settled s USING (scan_id, target) GROUP BY ALL""")
 def flagship_full(spark, d):
     """The whole path: blocks, lines, spans, candidates, arbitration, consolidation, resolution, findings."""
-    resolved = C.resolve(C.consolidate(_arbitrated(spark, d))).where("resolution_status <> 'NOT_DETECTED'").withColumn("seq", F.lit(0))
+    cand = C.arbitrate(E.extract_candidates(label_blocks(spark, d)))
+    resolved = C.resolve(C.consolidate(cand)).where("resolution_status <> 'NOT_DETECTED'").withColumn("seq", F.lit(0))
     scans = read_table(spark, d, "part").select(F.col("p_partkey").alias("scan_id"))
     return evaluate_presence(scans, resolved).groupBy("rule_code", "status").agg(F.count("*").alias("n_scans"))
