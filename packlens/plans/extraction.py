@@ -492,8 +492,10 @@ settled AS (SELECT p.scan_id, p.declaration_type AS target, p.c1,
 SELECT rule_code, CASE WHEN s.scan_id IS NULL THEN 'FAIL' WHEN NOT auto THEN 'REVIEW' WHEN c1 < min_conf THEN 'REVIEW' ELSE 'PASS' END AS status, count(*) AS n_scans
 FROM rules CROSS JOIN (SELECT p_partkey AS scan_id FROM part) p LEFT JOIN settled s USING (scan_id, target) GROUP BY ALL""")
 def flagship_full(spark, d):
-    """The whole path: blocks, lines, spans, candidates, arbitration, consolidation, resolution, findings."""
-    cand = C.arbitrate(E.extract_candidates(label_blocks(spark, d)))
-    resolved = C.resolve(C.consolidate(cand)).where("resolution_status <> 'NOT_DETECTED'").withColumn("seq", F.lit(0))
+    """The whole path: blocks, lines, spans, candidates, arbitration, consolidation, resolution, findings.
+
+    The candidates are written on first use, because consolidation and resolution read them more than once.
+    """
+    resolved = C.resolve(C.consolidate(_arbitrated(spark, d))).where("resolution_status <> 'NOT_DETECTED'").withColumn("seq", F.lit(0))
     scans = read_table(spark, d, "part").select(F.col("p_partkey").alias("scan_id"))
     return evaluate_presence(scans, resolved).groupBy("rule_code", "status").agg(F.count("*").alias("n_scans"))
