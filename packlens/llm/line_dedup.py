@@ -31,8 +31,11 @@ _FIRST = -(2**63)
 _PLACE = ("d", "node", "line_no")
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, "\t\r\x0b\x0c", "    "), " "), "")
+def _normal(line: Column) -> Column:
+    """The words of a line with one space between them; equal exactly if the words are."""
+    for space in "\t\r\x0b\x0c":
+        line = F.replace(line, F.lit(space), F.lit(" "))
+    return F.when(F.contains(line, F.lit("  ")), F.array_join(F.array_remove(F.split(line, " "), ""), " ")).otherwise(F.trim(line))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -42,16 +45,16 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _half_keys() -> Column:
     """Hashes of the first and last words that a line shares with a partner one edit away."""
-    n, keys = F.size("words"), []
-    for half in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
-        keys += [F.xxhash64(F.lit(1), half, F.slice("words", 1, half)), F.xxhash64(F.lit(2), half, F.slice("words", n - half + 1, half))]
-    return F.when(n >= LEAST, F.array_distinct(F.array(*keys)))
+    half, other = F.expr("cast(n div 2 as int)"), F.expr("cast((n - 1) div 2 as int)")
+    keys = [F.xxhash64(F.lit(side), h, F.call_function("substring_index", F.col("line"), F.lit(" "), h * side)) for h in (half, other) for side in (1, -1)]
+    return F.when(F.col("n") >= LEAST, F.when(half == other, F.array(*keys[:2])).otherwise(F.array(*keys)))
 
 
 def distinct_lines(rows: DataFrame) -> DataFrame:
     """``f`` (line hash), earliest ``d, node, line_no`` and half keys of each distinct line with words."""
-    lines = rows.select("d", "node", F.posexplode("lines").alias("line_no", "line")).select(*_PLACE, _words(F.col("line")).alias("words")).where(F.size("words") > 0)
-    hashed = lines.select(*_PLACE, F.xxhash64("words").alias("f"), _half_keys().alias("halves"))
+    lines = rows.select("d", "node", F.posexplode("lines").alias("line_no", "line")).select(*_PLACE, _normal(F.col("line")).alias("line")).where("line <> ''")
+    counted = lines.select(*_PLACE, "line", (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("n"))
+    hashed = counted.select(*_PLACE, F.xxhash64("line").alias("f"), _half_keys().alias("halves"))
     least = hashed.groupBy("f").agg(F.min(F.struct(*_PLACE)).alias("place"), F.first("halves").alias("halves"))
     return least.select("f", "place.*", "halves")
 
@@ -61,7 +64,7 @@ def _with_words(rows: DataFrame, places: DataFrame) -> DataFrame:
     wanted = places.groupBy(F.col("d").alias("wd"), F.col("node").alias("wn")).agg(F.collect_set(F.struct("line_no", "f")).alias("wanted"))
     found = rows.join(wanted, (F.col("d") == F.col("wd")) & (F.col("node") == F.col("wn")))
     picked = F.transform("wanted", lambda w: F.struct(w["f"].alias("f"), w["line_no"].alias("line_no"), F.get("lines", w["line_no"]).alias("line")))
-    return found.select("d", "node", F.inline(picked)).select("f", *_PLACE, _words(F.col("line")).alias("words")).dropDuplicates(["f", *_PLACE])
+    return found.select("d", "node", F.inline(picked)).select("f", *_PLACE, F.split(_normal(F.col("line")), " ").alias("words")).dropDuplicates(["f", *_PLACE])
 
 
 def variant_keys(lines: DataFrame) -> DataFrame:
@@ -123,7 +126,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         F.collect_set(F.when(F.col("gone").isNull(), F.col("line_no"))).alias("stay"), F.count("gone").alias("n_near"))
     joined = rows.join(firsts, (F.col("d") == F.col("fd")) & (F.col("node") == F.col("fn")), "left")
     stay = F.coalesce("stay", F.array().cast("array<int>"))
-    held = F.filter("lines", lambda line, i: (F.size(_words(line)) == 0) | F.array_contains(stay, i))
+    held = F.filter("lines", lambda line, i: (F.btrim(line, F.lit(" \t\r\x0b\x0c")) == "") | F.array_contains(stay, i))
     out = joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce("n_near", F.lit(0)).alias("n_near"), held.alias("held"))
     text = F.array_join("held", "\n")
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("held") - F.col("n_near")).alias("n_equal"), "n_near", F.sha2(text, 256).alias("kept_sha256"), text.alias("kept"))
