@@ -137,27 +137,27 @@ def thresholds(counted: DataFrame) -> DataFrame:
 
 
 def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
-    """``counted`` with boolean columns ``base_failed`` and ``kept``."""
+    """``counted`` with boolean columns ``rule_failed`` (a base rule) and ``rule_kept``."""
     c = F.col("rule_counts")
     base_failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > REPEAT_PERCENT * c["n_words"])
     beyond = F.lit(False)
     for r in RATIOS:
-        beyond = beyond | F.coalesce(_ratio(r) > F.col(r), F.lit(False))
-    limits = limits.select("t_lang", "t_source", *[F.col(r) for r in RATIOS])
+        beyond = beyond | F.coalesce(_ratio(r) > F.col(f"limit_{r}"), F.lit(False))
+    limits = limits.select("t_lang", "t_source", *[F.col(r).alias(f"limit_{r}") for r in RATIOS])
     joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    return joined.select(*[counted[f"`{x}`"] for x in counted.columns], base_failed.alias("base_failed"), (~base_failed & ~beyond).alias("kept"))
+    return joined.select(*[counted[f"`{x}`"] for x in counted.columns], base_failed.alias("rule_failed"), (~base_failed & ~beyond).alias("rule_kept"))
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """Counts and verdict of each document."""
     rows = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     counted = written(with_counts(rows).drop("text"), "rule_counts")
-    return judged(counted, thresholds(counted)).select("doc_id", "rule_counts.*", "base_failed", "kept")
+    return judged(counted, thresholds(counted)).select("doc_id", "rule_counts.*", F.col("rule_failed").alias("base_failed"), F.col("rule_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """Documents that pass; the texts are counted again where they lie instead of being shuffled to their verdicts."""
     counted = with_counts(docs.select(*[F.col(f"`{c}`") for c in docs.columns]))
     small = written(counted.select("lang", "source", "rule_counts"), "rule_counts")
-    kept = judged(counted, written(thresholds(small), "limits")).where("kept")
+    kept = judged(counted, written(thresholds(small), "limits")).where("rule_kept")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

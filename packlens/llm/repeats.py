@@ -230,6 +230,10 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _arrays(table: pa.Table) -> dict:
+    place = [table[c].to_numpy() for c in ("h", "d", "node", "a")]
+    same = np.logical_and.reduce([x[1:] == x[:-1] for x in place])  # the same place of a repeated row
+    if same.any():
+        table = table.filter(pa.array(np.concatenate([[True], ~same])))
     out = {c: table[c].to_numpy() for c in ("h", "part", "split", "d", "node", "a", "near", "far")}
     new = np.concatenate([[True], (out["h"][1:] != out["h"][:-1]) | (out["part"][1:] != out["part"][:-1])])
     left, right = table["left"].to_pylist(), table["right"].to_pylist()

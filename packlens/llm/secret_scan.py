@@ -11,6 +11,8 @@ ids are kept; other columns are ignored; an empty table scans nothing. Offsets c
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 
 _GUARDS = {"assign": r"(?i:password|passwd|secret|token|api_?key)", "access": "AKIA", "hex": "[0-9a-f]{24}"}
 _PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
-RULES = F.sha2(F.lit("\n".join([*_PATTERNS.values(), str(LEAST_VALUE), str(LEAST_ACCESS)])), 256)
+#: Version of the rules, from their text.
+RULES = hashlib.sha256("\n".join([*_PATTERNS.values(), str(LEAST_VALUE), str(LEAST_ACCESS)]).encode()).hexdigest()
 
 
 def _matches(kind: str) -> Column:
@@ -84,8 +87,8 @@ class Ledger:
         found = scan(texts.select("blob", "text")).distinct()
         spans = found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("first", "kind", "last"))).alias("spans"))
         with shuffles_freed(self.spark):
-            spans.select("blob", RULES.alias("rules"), "spans").write.mode("append").parquet(f"{self.path}/findings")
-            unseen.select("blob", RULES.alias("rules")).write.mode("append").parquet(f"{self.path}/scanned")
+            spans.select("blob", F.lit(RULES).alias("rules"), "spans").write.mode("append").parquet(f"{self.path}/findings")
+            unseen.select("blob", F.lit(RULES).alias("rules")).write.mode("append").parquet(f"{self.path}/scanned")
         return paths
 
 
