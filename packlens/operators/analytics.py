@@ -69,8 +69,8 @@ def trend(rows: DataFrame, ts: str, width: str, *aggs: Column) -> DataFrame:
         F.col("w.start").alias("window_start"), "*").drop("w")
 
 
-def context_savings(intent: Column, n_decl: Column, n_quality: Column, n_findings: Column) -> Column:
-    """AGG20: estimated tokens saved by leaving context out, for intents that drop all of it."""
+def context_savings(intent: Column, n_decl: Column, n_quality: Column, n_findings: Column, n_matched: Column, n_violations: Column) -> Column:
+    """AGG20: estimated tokens saved by the context that the intent leaves out."""
     t = V.TOKENS_PER
     return (
         F.when(intent.isin("GREETING_OR_CHITCHAT", "POLITENESS_OR_THANKS"),
@@ -78,5 +78,8 @@ def context_savings(intent: Column, n_decl: Column, n_quality: Column, n_finding
         .when(intent.isin("SYSTEM_NAVIGATION_HELP", "LEGAL_REGULATION_INQUIRY"),
               n_decl * t["declaration"] + n_quality * t["quality"] + t["help"])
         .when(intent == "IMAGE_QUALITY_DIAGNOSTIC", n_decl * t["declaration"] + n_findings * t["finding"])
-        .otherwise(0)
+        .when((intent == "SPECIFIC_DECLARATION_CHECK") & (n_decl > 0),
+              F.when(n_matched > 0, (n_decl - n_matched) * t["declaration"]).otherwise(0) + n_quality * t["quality"])
+        .otherwise(F.greatest(n_decl - V.CONTEXT_CAPS["overview"], F.lit(0)) * t["declaration"]
+                   + F.when(n_violations > 0, (n_findings - F.least(n_violations, F.lit(V.CONTEXT_CAPS["violations"]))) * t["finding"]).otherwise(0))
     )

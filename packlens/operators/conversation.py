@@ -129,20 +129,33 @@ def select_declarations(questions: DataFrame, decls: DataFrame) -> DataFrame:
     )
 
 
-def select_context(questions: DataFrame, scans: DataFrame, quality: DataFrame, decls: DataFrame) -> DataFrame:
-    """NLP5, NLP6, AGG20: context lines per question, numbered, with the intent's selection and caps.
+def _with_headings(rows: DataFrame) -> DataFrame:
+    """Every section's first line is preceded by its heading, as line 0."""
+    names = F.create_map(*[x for k, v in V.CONTEXT_HEADINGS.items() for x in (F.lit(k), F.lit(v))])
+    own = F.struct("pos", "line")
+    head = F.struct(F.lit(0).alias("pos"), F.element_at(names, F.col("section")).alias("line"))
+    return rows.select("question_id", "section", F.inline(F.when(F.col("pos") == 1, F.array(head, own)).otherwise(F.array(own))))
 
-    ``questions``: question_id, scan_id, intent, target_fields, panel_referenced, requires_scan_data.
-    Returns (question_id, section, pos, line); joining the lines of a question by newline is its context.
+
+def select_context(questions: DataFrame, scans: DataFrame, quality: DataFrame, decls: DataFrame, findings: DataFrame) -> DataFrame:
+    """NLP5, NLP6: context lines per question, numbered, with the intent's selection, headings and caps.
+
+    ``questions``: question_id, scan_id, intent, target_fields, panel_referenced, requires_scan_data. ``findings``: scan_id,
+    rule_code, status, message. Returns (question_id, section, pos, line); joining the lines of a question by newline
+    is its context. A field question about a scan without declarations is answered like an overview.
     """
-    q = questions.join(scans.select("scan_id", "product", "brand", "status"), "scan_id")
+    stored = decls.select("scan_id").distinct().withColumn("has_decls", F.lit(True))
+    q = questions.join(scans.select("scan_id", "product", "brand", "status"), "scan_id").join(stored, "scan_id", "left")
     silent = F.col("intent").isin("SYSTEM_NAVIGATION_HELP", "LEGAL_REGULATION_INQUIRY") & ~F.col("requires_scan_data")
     active = q.where(~silent)
     header = active.select("question_id", F.lit(0).alias("section"), F.lit(0).alias("pos"),
                            base_header(F.col("product"), F.col("brand"), F.col("status")).alias("line"))
+    specific = (F.col("intent") == "SPECIFIC_DECLARATION_CHECK") & F.col("has_decls").isNotNull()
+    asked = active.where(specific).select("question_id", "scan_id", "target_fields")
+    broad = active.where(~specific & ~F.col("intent").isin("GREETING_OR_CHITCHAT", "POLITENESS_OR_THANKS", "IMAGE_QUALITY_DIAGNOSTIC"))
 
-    def capped(rows: DataFrame, section: int, cap: int, line: Column) -> DataFrame:
-        w = W.partitionBy("question_id").orderBy("seq")
+    def capped(rows: DataFrame, section: int, cap: int, line: Column, order: str = "seq") -> DataFrame:
+        w = W.partitionBy("question_id").orderBy(order)
         return rows.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= cap).select(
             "question_id", F.lit(section).alias("section"), "pos", line.alias("line"))
 
@@ -154,14 +167,32 @@ def select_context(questions: DataFrame, scans: DataFrame, quality: DataFrame, d
         ", BlurScore=%.1f (min 100), GlareRatio=%.1f%% (max 5.0%%)", "blur_score", F.col("glare_score") * 100), flags)
     quality_rows = capped(
         active.where("intent = 'IMAGE_QUALITY_DIAGNOSTIC'").join(quality, "scan_id"), 1, V.CONTEXT_CAPS["quality"], q_line)
-    asked = active.where("intent = 'SPECIFIC_DECLARATION_CHECK'").select("question_id", "scan_id", "target_fields")
     matched = select_declarations(asked, decls).select("question_id", F.lit(2).alias("section"), "pos", "line")
+    note = asked.join(matched.where("pos = 1").select("question_id"), "question_id", "left_anti").select(
+        "question_id", F.lit(2).alias("section"), F.lit(0).alias("pos"),
+        F.concat(F.lit(V.CONTEXT_NOTE[0]), F.array_join("target_fields", ", "), F.lit(V.CONTEXT_NOTE[1])).alias("line"))
+    f_line = F.concat(F.lit("• Rule "), "rule_code", F.lit(" ["), F.col("finding_status"), F.lit("]: "), "message")
+    found = findings.select("scan_id", "rule_code", F.col("status").alias("finding_status"), "message")
+    violated = F.col("finding_status").isin("FAIL", "REVIEW")
+    about = F.exists("target_fields", lambda x: F.contains(F.col("rule_code"), F.upper(x)))
+    applicable = capped(asked.join(found, "scan_id").where(about | violated), 3, V.CONTEXT_CAPS["findings"], f_line, "rule_code")
     o_line = F.concat(F.lit("• ["), F.upper("declaration_type"), F.lit("]: '"), F.left("raw_text", F.lit(70)),
                       F.lit("' (Conf: "), F.format_string("%.2f", "confidence"), F.lit(")"))
-    overview = capped(
-        active.where("intent IN ('PRODUCT_COMPLIANCE_OVERVIEW', 'GENERAL_KNOWLEDGE')").join(decls, "scan_id"), 3,
-        V.CONTEXT_CAPS["overview"], o_line)
-    return header.unionByName(quality_rows).unionByName(matched).unionByName(overview)
+    overview = capped(broad.select("question_id", "scan_id").join(decls, "scan_id"), 4, V.CONTEXT_CAPS["overview"], o_line)
+    issues = capped(broad.select("question_id", "scan_id").join(found.where(violated), "scan_id"), 5, V.CONTEXT_CAPS["violations"], f_line, "rule_code")
+    body = quality_rows.unionByName(matched).unionByName(applicable).unionByName(overview).unionByName(issues)
+    return header.unionByName(note).unionByName(_with_headings(body))
+
+
+def context_counts(questions: DataFrame, quality: DataFrame, decls: DataFrame, findings: DataFrame) -> DataFrame:
+    """AGG20: questions with the numbers their savings depend on."""
+    nd = decls.groupBy("scan_id").agg(F.count("*").alias("n_decl"))
+    nq = quality.groupBy("scan_id").agg(F.count("*").alias("n_quality"))
+    nf = findings.groupBy("scan_id").agg(F.count("*").alias("n_findings"), F.count_if(F.col("status").isin("FAIL", "REVIEW")).alias("n_violations"))
+    hits = questions.where("intent = 'SPECIFIC_DECLARATION_CHECK'").join(decls, "scan_id").where(field_matches(F.col("target_fields"), F.col("declaration_type")))
+    nm = hits.groupBy("question_id").agg(F.count("*").alias("n_matched"))
+    joined = questions.join(nq, "scan_id").join(nd, "scan_id", "left").join(nf, "scan_id", "left").join(nm, "question_id", "left")
+    return joined.na.fill(0, ["n_decl", "n_findings", "n_violations", "n_matched"])
 
 
 def finding_lines(findings: DataFrame) -> DataFrame:

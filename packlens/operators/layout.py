@@ -265,7 +265,7 @@ def _next_lines(lines: DataFrame, blocks: DataFrame, px: int, near: Column | Non
     in_strip = W.partitionBy("image_id", "strip").orderBy("line_no")
     # First lines of the lower strips of tall images, addressed to the strip above. Strips below the
     # first consist of blocks at or below ``px``, so photographs contribute nothing to this branch.
-    lower = cluster_lines(blocks.where(F.col("y2") + HALO_PX >= px), px, near)
+    lower = cluster_lines(blocks.where(F.col("y2") >= px - HALO_PX), px, near)
     if near is None:
         lower = lower.withColumn("near_values", F.lit(None).cast("array<string>"))
     heads = (

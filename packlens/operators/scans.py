@@ -53,13 +53,18 @@ def in_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(keys.select(key), key, "left_semi")
 
 
-def filter_declarations(decls: DataFrame, mode: str) -> DataFrame:
-    """FLT6: list filter modes."""
+def declaration_mode(mode: str) -> Column:
+    """FLT6: condition of a list filter mode."""
     if mode in ("NEEDS_REVIEW", "CONFIRMED", "AUTO_RESOLVED", "REJECTED"):
-        return decls.where(F.col("resolution_status") == mode)
+        return F.col("resolution_status") == mode
     if mode == "CONFLICT":
-        return decls.where((F.col("resolution_status") == "CONFLICT") | F.col("has_conflict"))
-    return decls
+        return (F.col("resolution_status") == "CONFLICT") | F.col("has_conflict")
+    return F.lit(True)
+
+
+def filter_declarations(decls: DataFrame, mode: str) -> DataFrame:
+    """FLT6: list filter modes."""
+    return decls.where(declaration_mode(mode))
 
 
 def sanitize_metadata(metadata: Column) -> Column:

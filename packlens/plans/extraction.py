@@ -46,7 +46,7 @@ def lay1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("win1_reading_positions_documents", """
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
-SELECT doc_id AS image_id, doc_id * 1000000 + pos - 1 AS block_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS reading_pos
+SELECT doc_id AS image_id, doc_id * 2147483648 + pos - 1 AS block_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS reading_pos
 FROM lines WHERE trim(line, E' \\n\\t\\r') <> ''
 """)
 def win1(spark, d):
@@ -317,7 +317,7 @@ WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, gener
 
 
 @query("ext11_emails_in_documents", _DOC_LINES + f"""
-SELECT doc_id AS image_id, doc_id * 1000000 + pos - 1 AS block_id, {cap('text', V.EMAIL)} AS raw_value FROM lines WHERE contains(text, '@') AND {has('text', V.EMAIL)}""")
+SELECT doc_id AS image_id, doc_id * 2147483648 + pos - 1 AS block_id, {cap('text', V.EMAIL)} AS raw_value FROM lines WHERE contains(text, '@') AND {has('text', V.EMAIL)}""")
 def ext11_documents(spark, d):
     spans = L.single_spans(doc_blocks(spark, d))
     cand = E.candidates_from_spans(spans, ("care",)).where("declaration_type = 'CONSUMER_CARE_EMAIL'")

@@ -11,7 +11,7 @@ from packlens.functions import scores as S
 from packlens.operators import quality as QL
 from packlens.operators import scans as SC
 from packlens.operators.consolidate import output_types
-from packlens.operators.layout import reading_order
+from packlens.operators.layout import number_rows, reading_order
 from packlens.operators.evaluate import hypothesis_text
 from packlens.plans.registry import query
 from packlens.plans.sql_parts import with_tables
@@ -44,10 +44,10 @@ _RULE_VALUES = ", ".join(f"('{r['rule_code']}', '{r['target']}', {r['min_confide
 SELECT rule_code, count(d.declaration_id) AS n_declarations, count_if(d.confidence >= min_confidence) AS n_confident
 FROM (VALUES {_RULE_VALUES}) r(rule_code, target, min_confidence) LEFT JOIN declarations d ON d.declaration_type = r.target GROUP BY rule_code""")
 def src3(spark, d):
-    rules = T.rule_catalog(spark)
-    joined = F.broadcast(rules).join(derived(spark, d, "declarations"), F.col("target") == F.col("declaration_type"), "left")
-    return joined.groupBy("rule_code").agg(
-        F.count("declaration_id").alias("n_declarations"), F.count_if(F.col("confidence") >= F.col("min_confidence")).alias("n_confident"))
+    rules = T.rule_catalog(spark)  # four fixed rows
+    joined = derived(spark, d, "declarations").join(F.broadcast(rules), F.col("target") == F.col("declaration_type"))
+    counts = joined.groupBy("rule_code").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") >= F.col("min_confidence")).alias("k"))
+    return rules.join(counts, "rule_code", "left").select("rule_code", F.coalesce("n", F.lit(0)).alias("n_declarations"), F.coalesce("k", F.lit(0)).alias("n_confident"))
 
 
 _RULE_TEXT = """
@@ -151,6 +151,11 @@ def flt1(spark, d):
     return SC.visible_scan_counts(derived(spark, d, "scans"), derived(spark, d, "users"))
 
 
+@query("flt1_visible_scan_rows", with_tables("scans") + "SELECT scan_id, inspector_id FROM scans WHERE inspector_id = 1")
+def flt1_rows(spark, d):
+    return SC.visible_scans(derived(spark, d, "scans"), 1, "INSPECTOR").select("scan_id", "inspector_id")
+
+
 @query("flt2_lookup_scan", with_tables("scans") + "SELECT scan_id, scan_code, status FROM scans WHERE CAST(scan_id AS VARCHAR) = '7' OR scan_code = '7'")
 def flt2(spark, d):
     return SC.lookup_scan(derived(spark, d, "scans"), "7").select("scan_id", "scan_code", "status")
@@ -178,11 +183,8 @@ SELECT mode, declaration_id FROM declarations, (VALUES ('ALL'), ('NEEDS_REVIEW')
 WHERE mode = 'ALL' OR resolution_status = mode OR (mode = 'CONFLICT' AND has_conflict)""")
 def flt6(spark, d):
     decls = derived(spark, d, "declarations")
-    out = None
-    for mode in ("ALL", "NEEDS_REVIEW", "CONFIRMED", "AUTO_RESOLVED", "REJECTED", "CONFLICT"):
-        part = SC.filter_declarations(decls, mode).select(F.lit(mode).alias("mode"), "declaration_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    modes = [F.when(SC.declaration_mode(mode), F.lit(mode)) for mode in ("ALL", "NEEDS_REVIEW", "CONFIRMED", "AUTO_RESOLVED", "REJECTED", "CONFLICT")]
+    return decls.select(F.explode(F.array_compact(F.array(*modes))).alias("mode"), "declaration_id")
 
 
 @query("flt7_sanitize_metadata", """
@@ -318,8 +320,8 @@ def jn14(spark, d):
 # --------------------------------------------------------------------- sorts, sets, windows
 @query("srt1_scans_newest_first", with_tables("scans") + "SELECT scan_id, row_number() OVER (PARTITION BY inspector_id ORDER BY created_at DESC, scan_id) AS pos FROM scans")
 def srt1(spark, d):
-    w = W.partitionBy("inspector_id").orderBy(F.desc("created_at"), "scan_id")
-    return derived(spark, d, "scans").select("scan_id", F.row_number().over(w).alias("pos"))
+    scans = derived(spark, d, "scans").withColumn("slice", -F.floor(F.unix_timestamp("created_at") / 86400))
+    return number_rows(scans, ["inspector_id"], "slice", [F.desc("created_at"), F.col("scan_id")], "pos", 1).select("scan_id", "pos")
 
 
 @query("srt2_declarations_oldest_first", with_tables("declarations") + "SELECT declaration_id, row_number() OVER (PARTITION BY scan_id ORDER BY seq) AS pos FROM declarations")

@@ -13,6 +13,7 @@ from packlens.plans.decisions import _FINDINGS, findings_of
 from packlens.plans.registry import query
 from packlens.plans.sql_parts import with_tables
 from packlens.plans.tables import _STATUS, _WARN
+from packlens.session import shared_folder
 from packlens.sources.corpus import derived
 
 
@@ -80,7 +81,7 @@ def win4(spark, d):
     return CV.prune_history(read_table(spark, d, "conversations"))
 
 
-_QUESTIONS = ", questions AS (SELECT conv_id * 100 + turn AS question_id, conv_id AS scan_id, intent, target_fields, panel_referenced, requires_scan_data FROM named WHERE role = 'user')"
+_QUESTIONS = ", questions AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS question_id, conv_id AS scan_id, intent, target_fields, panel_referenced, requires_scan_data FROM named WHERE role = 'user')"
 _MATCH = " OR ".join(
     f"(list_contains(q.target_fields, '{f}') AND (" + " OR ".join(f"contains(d.declaration_type, '{p}')" for p in parts) + "))"
     for f, parts in V.FIELD_TYPE_PARTS.items())
@@ -88,15 +89,15 @@ _MATCH = " OR ".join(
 
 def questions(spark, d) -> DataFrame:
     return classified(spark, d).where("role = 'user'").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.col("conv_id").alias("scan_id"), "intent", "target_fields",
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"), F.col("conv_id").alias("scan_id"), "intent", "target_fields",
         "panel_referenced", "requires_scan_data")
 
 
 @query("nlp7_field_matches", with_tables("utterances", "declarations") + ", " + _INTENT + _QUESTIONS + f"""
-SELECT q.question_id, d.declaration_id, coalesce({_MATCH}, FALSE) AS matched FROM questions q JOIN declarations d USING (scan_id)""")
+SELECT q.question_id, d.declaration_id FROM questions q JOIN declarations d USING (scan_id) WHERE {_MATCH}""")
 def nlp7(spark, d):
-    return questions(spark, d).join(derived(spark, d, "declarations"), "scan_id").select(
-        "question_id", "declaration_id", CV.field_matches(F.col("target_fields"), F.col("declaration_type")).alias("matched"))
+    pairs = questions(spark, d).where(F.size("target_fields") > 0).join(derived(spark, d, "declarations"), "scan_id")
+    return pairs.where(CV.field_matches(F.col("target_fields"), F.col("declaration_type"))).select("question_id", "declaration_id")
 
 
 @query("nlp6_context_header", with_tables("scans", "products") + """
@@ -107,6 +108,12 @@ def nlp6(spark, d):
     return rows.select("scan_id", CV.base_header(F.col("product"), F.col("brand"), F.col("status")).alias("header"))
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    path = f"{shared_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan_context(spark, d) -> DataFrame:
     scans, products = derived(spark, d, "scans"), derived(spark, d, "products")
     return scans.join(products, "product_id", "left").select(
@@ -118,32 +125,53 @@ ctx AS (SELECT q.*, coalesce(nullif(trim(p.name), ''), s.scan_code) AS product,
         WHERE NOT (intent IN ('SYSTEM_NAVIGATION_HELP', 'LEGAL_REGULATION_INQUIRY') AND NOT requires_scan_data)),
 qual AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY image_id) AS pos, {_STATUS} AS qs, {_WARN} AS warns FROM images),
 hits AS (SELECT q.question_id, d.*, row_number() OVER (PARTITION BY q.question_id ORDER BY d.seq) AS pos FROM ctx q JOIN declarations d USING (scan_id) WHERE intent = 'SPECIFIC_DECLARATION_CHECK' AND ({_MATCH})),
-over AS (SELECT q.question_id, d.*, row_number() OVER (PARTITION BY q.question_id ORDER BY d.seq) AS pos FROM ctx q JOIN declarations d USING (scan_id) WHERE intent IN ('PRODUCT_COMPLIANCE_OVERVIEW', 'GENERAL_KNOWLEDGE'))
+held AS (SELECT DISTINCT scan_id FROM declarations),
+asked AS (SELECT * FROM ctx WHERE intent = 'SPECIFIC_DECLARATION_CHECK' AND scan_id IN (SELECT scan_id FROM held)),
+broad AS (SELECT * FROM ctx WHERE intent NOT IN ('GREETING_OR_CHITCHAT', 'POLITENESS_OR_THANKS', 'IMAGE_QUALITY_DIAGNOSTIC') AND question_id NOT IN (SELECT question_id FROM asked)),
+over AS (SELECT q.question_id, d.*, row_number() OVER (PARTITION BY q.question_id ORDER BY d.seq) AS pos FROM broad q JOIN declarations d USING (scan_id)),
+rule_lines AS (SELECT scan_id, rule_code, status AS fs, '• Rule ' || rule_code || ' [' || status || ']: ' || message AS line FROM findings),
+body AS (
+SELECT c.question_id, 1 AS section, q.pos, CASE WHEN contains(image_type, panel_referenced) THEN '▶ ' ELSE '• ' END || image_type || ': Status=' || qs || printf(', BlurScore=%.1f (min 100), GlareRatio=%.1f%% (max 5.0%%)', blur_score, glare_score * 100)
+  || CASE WHEN len(warns) > 0 THEN ', Flags: [''' || array_to_string(warns, ''', ''') || ''']' ELSE '' END AS line FROM ctx c JOIN qual q USING (scan_id) WHERE intent = 'IMAGE_QUALITY_DIAGNOSTIC' AND q.pos <= 5
+UNION ALL
+SELECT question_id, 2, pos, '• [' || declaration_type || '] ''' || raw_text || ''' (Confidence: ' || printf('%.2f', confidence) || ', Review: ' || resolution_status || ')' FROM hits WHERE pos <= 6
+UNION ALL
+SELECT question_id, 3, pos, line FROM (SELECT q.question_id, row_number() OVER (PARTITION BY q.question_id ORDER BY rule_code) AS pos, line FROM asked q JOIN rule_lines USING (scan_id)
+  WHERE fs IN ('FAIL', 'REVIEW') OR len([x for x in q.target_fields if contains(rule_code, upper(x))]) > 0) z WHERE pos <= 3
+UNION ALL
+SELECT question_id, 4, pos, '• [' || declaration_type || ']: ''' || left(raw_text, 70) || ''' (Conf: ' || printf('%.2f', confidence) || ')' FROM over WHERE pos <= 8
+UNION ALL
+SELECT question_id, 5, pos, line FROM (SELECT q.question_id, row_number() OVER (PARTITION BY q.question_id ORDER BY rule_code) AS pos, line FROM broad q JOIN rule_lines USING (scan_id) WHERE fs IN ('FAIL', 'REVIEW')) z WHERE pos <= 5)
 SELECT question_id, 0 AS section, 0 AS pos, 'Active Product: ' || product || CASE WHEN brand IS NOT NULL THEN ' (' || brand || ')' ELSE '' END || ' | Session Status: ' || status AS line FROM ctx
 UNION ALL
-SELECT c.question_id, 1, q.pos, CASE WHEN contains(image_type, panel_referenced) THEN '▶ ' ELSE '• ' END || image_type || ': Status=' || qs || printf(', BlurScore=%.1f (min 100), GlareRatio=%.1f%% (max 5.0%%)', blur_score, glare_score * 100)
-  || CASE WHEN len(warns) > 0 THEN ', Flags: [''' || array_to_string(warns, ''', ''') || ''']' ELSE '' END FROM ctx c JOIN qual q USING (scan_id) WHERE intent = 'IMAGE_QUALITY_DIAGNOSTIC' AND q.pos <= 5
+SELECT question_id, 2, 0, '{V.CONTEXT_NOTE[0]}' || array_to_string(target_fields, ', ') || '{V.CONTEXT_NOTE[1]}' FROM asked WHERE question_id NOT IN (SELECT question_id FROM hits)
 UNION ALL
-SELECT question_id, 2, pos, '• [' || declaration_type || '] ''' || raw_text || ''' (Confidence: ' || printf('%.2f', confidence) || ', Review: ' || resolution_status || ')' FROM hits WHERE pos <= 6
+SELECT DISTINCT question_id, section, 0, CASE section {" ".join(f"WHEN {k} THEN '{v}'" for k, v in V.CONTEXT_HEADINGS.items())} END FROM body
 UNION ALL
-SELECT question_id, 3, pos, '• [' || declaration_type || ']: ''' || left(raw_text, 70) || ''' (Conf: ' || printf('%.2f', confidence) || ')' FROM over WHERE pos <= 8"""
+SELECT * FROM body"""
 
 
-@query("nlp5_select_context", with_tables("utterances", "scans", "products", "images", "declarations") + ", " + _INTENT + _QUESTIONS + ", " + _CTX)
+@query("nlp5_select_context", with_tables("utterances", "scans", "products", "images", "declarations") + ", " + _INTENT + _QUESTIONS + ", " + _FINDINGS + ", " + _CTX)
 def nlp5(spark, d):
     quality = QL.classify(derived(spark, d, "images")).withColumn("seq", F.col("image_id")).withColumn("panel_type", F.col("image_type"))
-    return CV.select_context(questions(spark, d), scan_context(spark, d), quality, derived(spark, d, "declarations"))
-
-
-@query("agg20_context_savings", with_tables("utterances", "images", "declarations") + ", " + _INTENT + _QUESTIONS + """
-SELECT q.question_id, CASE WHEN intent IN ('GREETING_OR_CHITCHAT', 'POLITENESS_OR_THANKS') THEN nd * 30 + nq * 25 + 150 WHEN intent IN ('SYSTEM_NAVIGATION_HELP', 'LEGAL_REGULATION_INQUIRY') THEN nd * 30 + nq * 25 + 120
-  WHEN intent = 'IMAGE_QUALITY_DIAGNOSTIC' THEN nd * 30 ELSE 0 END AS saved
-FROM questions q JOIN (SELECT scan_id, count(*) AS nd FROM declarations GROUP BY 1) d USING (scan_id) JOIN (SELECT scan_id, count(*) AS nq FROM images GROUP BY 1) i USING (scan_id)""")
+    # both are read by several sections
+    asked, findings = staged(questions(spark, d), "questions"), staged(findings_of(spark, d), "findings")
+    return CV.select_context(asked, scan_context(spark, d), quality, derived(spark, d, "declarations"), findings)
+
+
+@query("agg20_context_savings", with_tables("utterances", "images", "declarations") + ", " + _INTENT + _QUESTIONS + ", " + _FINDINGS + f"""
+SELECT q.question_id, CASE WHEN intent IN ('GREETING_OR_CHITCHAT', 'POLITENESS_OR_THANKS') THEN coalesce(nd, 0) * 30 + nq * 25 + coalesce(nf, 0) * 20 + 150
+  WHEN intent IN ('SYSTEM_NAVIGATION_HELP', 'LEGAL_REGULATION_INQUIRY') THEN coalesce(nd, 0) * 30 + nq * 25 + 120
+  WHEN intent = 'IMAGE_QUALITY_DIAGNOSTIC' THEN coalesce(nd, 0) * 30 + coalesce(nf, 0) * 20
+  WHEN intent = 'SPECIFIC_DECLARATION_CHECK' AND nd IS NOT NULL THEN CASE WHEN nm IS NULL THEN 0 ELSE (nd - nm) * 30 END + nq * 25
+  ELSE greatest(coalesce(nd, 0) - 8, 0) * 30 + CASE WHEN coalesce(nv, 0) > 0 THEN (nf - least(nv, 5)) * 20 ELSE 0 END END AS saved
+FROM questions q JOIN (SELECT scan_id, count(*) AS nq FROM images GROUP BY 1) i USING (scan_id)
+LEFT JOIN (SELECT scan_id, count(*) AS nd FROM declarations GROUP BY 1) d USING (scan_id)
+LEFT JOIN (SELECT scan_id, count(*) AS nf, count_if(status IN ('FAIL', 'REVIEW')) AS nv FROM findings GROUP BY 1) f USING (scan_id)
+LEFT JOIN (SELECT q.question_id, count(*) AS nm FROM questions q JOIN declarations d USING (scan_id) WHERE intent = 'SPECIFIC_DECLARATION_CHECK' AND ({_MATCH}) GROUP BY 1) m USING (question_id)""")
 def agg20(spark, d):
-    nd = derived(spark, d, "declarations").groupBy("scan_id").agg(F.count("*").alias("nd"))
-    nq = derived(spark, d, "images").groupBy("scan_id").agg(F.count("*").alias("nq"))
-    return questions(spark, d).join(nd, "scan_id").join(nq, "scan_id").select(
-        "question_id", A.context_savings(F.col("intent"), F.col("nd"), F.col("nq"), F.lit(0)).alias("saved"))
+    counts = CV.context_counts(staged(questions(spark, d), "questions"), derived(spark, d, "images"), derived(spark, d, "declarations"), findings_of(spark, d))
+    return counts.select("question_id", A.context_savings(F.col("intent"), F.col("n_decl"), F.col("n_quality"), F.col("n_findings"), F.col("n_matched"), F.col("n_violations")).alias("saved"))
 
 
 @query("flt8_violations", with_tables("declarations") + ", " + _FINDINGS + """

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,13 +28,6 @@ def build_session(app: str = "packlens", cores: int | str = "*", **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared checkpoint directory.
-
-    ``spark.checkpoint.dir`` names storage every executor can reach. Only where it is unset
-    (tests, local runs) a local folder is created and recorded in the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="packlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A fresh folder in storage that all executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(base, f"packlens-{uuid.uuid4().hex}")

@@ -114,7 +114,7 @@ SELECT p_partkey AS scan_id, p_partkey * 4 + k.panel AS image_id,
        CASE WHEN p_partkey % 13 = 0 THEN CAST('0.01' AS DOUBLE) ELSE CAST('0.4' AS DOUBLE) END AS foreground_ratio,
        CASE WHEN p_partkey % 13 = 0 THEN CAST('0.99' AS DOUBLE) ELSE CAST('0.6' AS DOUBLE) END AS background_ratio,
        CASE WHEN p_partkey % 17 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS processing_status
-FROM {part} JOIN (SELECT 0 AS panel, 1 AS one UNION ALL SELECT 1, 1 UNION ALL SELECT 2, 1) k ON k.one = 1
+FROM (SELECT *, {fan3} AS panel FROM {part}) k
 """
 # stored declarations of earlier runs: four types per scan, statuses and values from the part
 DECLARATIONS = """
@@ -133,8 +133,7 @@ SELECT p_partkey AS scan_id, p_partkey * 10 + k.t AS declaration_id,
        CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_partkey * 4 + k.t % 3 END AS image_id,
        (p_partkey * 4 + k.t % 3) * 100 + k.t AS source_block_id,
        k.t AS seq
-FROM {part} JOIN (SELECT 0 AS t, 1 AS one UNION ALL SELECT 1, 1 UNION ALL SELECT 2, 1 UNION ALL SELECT 3, 1
-                  UNION ALL SELECT 4, 1) k ON k.one = 1
+FROM (SELECT *, {fan5} AS t FROM {part}) k
 WHERE (p_partkey + k.t) % 4 <> 3
 """
 UTTERANCES = """
@@ -152,6 +151,7 @@ _TABLES = ["part", "lineitem", "supplier", "conversations", "nation", "events",
 
 
 def run_sql(spark: SparkSession, folder: str, sql: str) -> DataFrame:
+    sql = sql.replace("{fan3}", "explode(array(0, 1, 2))").replace("{fan5}", "explode(array(0, 1, 2, 3, 4))")
     names = [t for t in _TABLES if "{%s}" % t in sql]
     return spark.sql(sql, **{t: read_table(spark, folder, t) for t in names})
 
@@ -220,7 +220,7 @@ def doc_blocks(spark: SparkSession, folder: str, lang: str | None = None) -> Dat
         .select(
             F.col("doc_id").alias("scan_id"), F.col("doc_id").alias("image_id"), F.lit("OTHER").alias("image_type"),
             F.lit(0).alias("image_seq"),
-            (F.col("doc_id") * 1000000 + F.col("line")).alias("block_id"), F.col("line").alias("block_order"),
+            (F.col("doc_id") * 2147483648 + F.col("line")).alias("block_id"), F.col("line").alias("block_order"),
             "text", (1.0 - (F.col("n_chars") % 10) / F.lit(100.0)).alias("confidence"),
             F.lit(0).alias("x1"), (F.col("line") * 20).alias("y1"), F.lit(400).alias("x2"),
             (F.col("line") * 20 + 16).alias("y2"),
@@ -232,7 +232,7 @@ def doc_blocks(spark: SparkSession, folder: str, lang: str | None = None) -> Dat
 # ------------------------------------------------------------------ the same corpus as plain SQL
 def sql_tables(sql: str) -> str:
     """Replace the ``{table}`` marks by plain names for an engine with registered views."""
-    sql = sql.replace("{facts}", PART_FACTS)
+    sql = sql.replace("{facts}", PART_FACTS).replace("{fan3}", "unnest([0, 1, 2])").replace("{fan5}", "unnest([0, 1, 2, 3, 4])")
     for t in _TABLES:
         sql = sql.replace("{%s}" % t, t)
     return sql
