@@ -218,7 +218,7 @@ def _islands(masked: DataFrame) -> DataFrame:
 
 
 def cluster_lines(blocks: DataFrame, px: int = STRIP_PX, near: Column | None = None) -> DataFrame:
-    """LAY3: one row per text line: image columns, ``strip``, ``line_no`` (in strip), box, sorted blocks."""
+    """LAY3: one row per text line: image columns, ``strip``, ``line_no`` (in strip; see ``image_lines``), box, sorted blocks."""
     masked = _islands(_masked(blocks, px, near))
     image_cols = [c for c in ("scan_id", "image_type", "image_seq") if c in blocks.columns]
     extra = [] if near is None else ["near_values"]
@@ -251,6 +251,21 @@ def cluster_lines(blocks: DataFrame, px: int = STRIP_PX, near: Column | None = N
     )
 
 
+def image_lines(lines: DataFrame) -> DataFrame:
+    """Lines numbered over the whole image, with ``up``, the box and height of the line above (null for the first).
+
+    Strips only deal work out: every strip starts at the number of lines above it, and its first line looks at the last
+    line of the strip above. Both come from one small row per strip; images of one strip meet none of them.
+    """
+    item = F.struct("y1", "y2", "height")
+    strips = lines.groupBy("image_id", "strip").agg(F.count("*").alias("__n"), F.max(F.struct("line_no", item.alias("last")))["last"].alias("__last"))
+    down = W.partitionBy("image_id").orderBy("strip")
+    above = strips.select("image_id", "strip", F.sum("__n").over(down.rowsBetween(W.unboundedPreceding, -1)).alias("__offset"), F.lag("__last").over(down).alias("__tail")).where("__offset > 0")
+    up = F.lag(item).over(W.partitionBy("image_id", "strip").orderBy("line_no"))
+    joined = lines.withColumn("up", up).join(above, ["image_id", "strip"], "left")
+    return joined.withColumn("up", F.coalesce("up", "__tail")).withColumn("line_no", (F.col("line_no") + F.coalesce("__offset", F.lit(0))).cast("long")).drop("__offset", "__tail")
+
+
 def proximate(upper: Column, lower: Column) -> Column:
     """LAY4: the lower line starts within 1.8 mean line heights of the upper line's end."""
     return (lower["y1"] - upper["y2"]) <= (upper["height"] + lower["height"]) / 2 * V.LINE_GAP_FACTOR

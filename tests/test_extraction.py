@@ -186,3 +186,16 @@ def test_row_order_does_not_matter(spark, make_blocks):
     a = C.consolidate(C.arbitrate(E.extract_candidates(blocks))).select("declaration_type", "raw_value", "confidence").collect()
     b = C.consolidate(C.arbitrate(E.extract_candidates(blocks.orderBy(F.desc("block_id"))))).select("declaration_type", "raw_value", "confidence").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_strips_do_not_change_line_numbers(make_blocks):
+    from packlens.operators.layout import cluster_lines, image_lines
+
+    blocks = [(f"b{i}", f"line {i}", 0.9, 10, i * 20 + i % 3, 200, i * 20 + 16) for i in range(300)]
+    tall = make_blocks({("tall", "OTHER"): blocks})
+
+    def rows(px):
+        out = image_lines(cluster_lines(tall, px))
+        return sorted((r["line_no"], r["y1"], r["up"] and r["up"]["y2"]) for r in out.collect())
+
+    assert rows(640) == rows(100_000) and [r[0] for r in rows(640)] == list(range(300))
