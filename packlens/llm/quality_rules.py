@@ -35,8 +35,8 @@ ERROR, MIN_GROUP, FENCE = 0.02, 200, 3.0
 RATIOS = {
     "symbols": ("n_symbols / word_chars", 0.05),
     "caps": ("n_caps / word_chars", 0.4),
-    "dup_lines": ("n_dup_lines / n_lines", 0.3),
-    "repeats": ("n_repeat_words / n_words", 0.15),
+    "dup_lines": ("n_dup_lines / n_lines", 0.4),
+    "repeats": ("n_repeat_words / n_words", 0.25),
     "word_length": ("word_chars / n_words", 14.0),
 }
 
