@@ -35,7 +35,7 @@ def main() -> None:
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
     print(json.dumps({
-        "metric": "headline queries, total wall time", "value": round(sum(seconds.values()), 3), "unit": "sec",
+        "metric": "headline queries with staging, total wall time", "value": round(sum(seconds.values()) + staging, 3), "unit": "sec",
         "queries": seconds, "staging_sec": round(staging, 3), "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
     }))
     spark.stop()
