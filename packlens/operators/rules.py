@@ -107,15 +107,24 @@ def check_conditions(decls: DataFrame, conditions: list[dict]) -> DataFrame:
 
 
 def rules_as_of(inspections: DataFrame, rules: DataFrame) -> DataFrame:
-    """RUL5: the active rule version at inspection time.
+    """RUL5: the active rule version at inspection time; the newest start wins where ranges overlap.
 
-    Equi-join on rule_code with the validity range as residual; at most one version matches, and the
-    newest start wins where ranges overlap.
+    Versions are cut into calendar months between the first and last inspection, so the join key is (rule_code, month)
+    and a rule with very many inspections is dealt over its months. The validity range stays as the exact test.
     """
+    first, last = inspections.agg(F.min("inspected_at"), F.max("inspected_at")).first()
+
+    def month(c: Column) -> Column:
+        return F.trunc(c.cast("date"), "MM")
+
+    start, stop = F.greatest("valid_from", F.lit(first)), F.least(F.coalesce("valid_to", F.lit(last)), F.lit(last))
+    known = rules.where("is_active").where((F.col("valid_from") <= F.lit(last)) & (stop >= start))
+    dealt = known.withColumn("month", F.explode(F.sequence(month(start), month(stop), F.expr("INTERVAL 1 MONTH"))))
     inside = (F.col("r.valid_from") <= F.col("i.inspected_at")) & (
         F.col("r.valid_to").isNull() | (F.col("i.inspected_at") < F.col("r.valid_to")))
-    joined = inspections.alias("i").join(
-        rules.where("is_active").alias("r"), (F.col("i.rule_code") == F.col("r.rule_code")) & inside)
+    seen = inspections.withColumn("month", month(F.col("inspected_at")))
+    joined = seen.alias("i").join(
+        dealt.alias("r"), (F.col("i.rule_code") == F.col("r.rule_code")) & (F.col("i.month") == F.col("r.month")) & inside)
     return joined.groupBy(F.col("i.inspection_id").alias("inspection_id"), F.col("i.rule_code").alias("rule_code")).agg(
         F.max(F.struct(F.col("r.valid_from"), F.col("r.rule_version"))).alias("v")
     ).select("inspection_id", "rule_code", F.col("v.rule_version").alias("rule_version"))

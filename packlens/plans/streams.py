@@ -51,16 +51,15 @@ def sta3_stream(spark, d):
 
 @query("sta1_upsert_stream", with_tables("declarations") + ", " + _UPSERT)
 def sta1_stream(spark, d):
-    """Fresh machine results arrive as a stream of files and are merged batch by batch."""
+    """Fresh machine results arrive as a stream of files, one a micro-batch; the last merged version is the result.
+
+    All results of a scan are in one file. The stored table starts as a run without fresh results leaves it.
+    """
     folder = shared_folder(spark)
-    columns = ["scan_id", "declaration_type", "declaration_id", "resolution_status", "machine_value", "reviewed_value",
-               "canonical_value", "confidence", "reviewed"]
-    held = stored(spark, d).where("resolution_status IN ('CONFIRMED', 'REJECTED')")
-    held.withColumn("canonical_value", F.coalesce("reviewed_value", "machine_value")).withColumn("confidence", F.lit(0.0)).select(
-        *columns).write.parquet(f"{folder}/table/v=0")
-    fresh(spark, d).repartition(1).write.parquet(f"{folder}/incoming")
-    incoming = spark.readStream.schema(spark.read.parquet(f"{folder}/incoming").schema).parquet(f"{folder}/incoming")
+    new = fresh(spark, d)
+    upsert_declarations(stored(spark, d), new.limit(0)).write.parquet(f"{folder}/table/v=0")
+    new.repartition(8, "scan_id").write.parquet(f"{folder}/incoming")
+    incoming = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/incoming")
     ST.drain(incoming, ST.upsert_batches(f"{folder}/table"), f"{folder}/checkpoint")
-    merged = spark.read.parquet(f"{folder}/table/v=1")
-    # scans without fresh results keep their stored row; refresh their snapshot like a full batch run does
-    return upsert_declarations(merged, fresh(spark, d))
+    versions = spark.read.parquet(f"{folder}/table")
+    return versions.where(F.col("v") == versions.agg(F.max("v")).first()[0]).drop("v")
