@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -17,13 +16,8 @@ _CLEAN_UP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only a one-process session may do without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name storage that all executors share")
-        base = tempfile.mkdtemp(prefix="packlens-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder in storage that all executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(base, f"llm-{uuid.uuid4().hex}")
 
 

@@ -9,6 +9,7 @@ from packlens.llm.decontaminate import decontaminate
 from packlens.llm.line_dedup import dedup_lines
 from packlens.llm.minhash import near_duplicates
 from packlens.llm.mixing import mixed
+from packlens.llm.oracles import ORACLES
 from packlens.llm.packing import pack_tokens
 from packlens.llm.quality_cnn import score_quality
 from packlens.llm.quality_rules import quality_verdicts
@@ -54,7 +55,8 @@ def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    found = decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op10_token_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,4 +72,4 @@ def all_queries() -> dict:
 
 
 def all_oracles() -> dict:
-    return {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return ORACLES | ({} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL})
