@@ -8,8 +8,9 @@ their weighted Jaccard similarity. Bands of five coordinates give join keys.
 
 Equal texts are one node (64-bit text hash), so copies meet once. Inside a band, members are paired with three leaders
 (least node under three orders) instead of with each other; pairs are checked exactly on their shingles, best match
-first, until members hang together or all are tried. Classes are connected components of pairs with similarity
-of at least 0.8.
+first, until members hang together or all are tried. Where members of a band still lie in several classes, those
+that no leader was tried for against each other go through an exact prefix-filter join on their shingles, rarest first, so no
+link of a band is lost. Classes are connected components of pairs with similarity of at least 0.8.
 
 Defined results: words are lower-cased runs of letters and digits; a text of fewer than five words has one shingle, a text
 without words only matches equal texts; null text is empty; the class id is the least doc_id of the class (null
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packlens.llm.common import as_bytes, parts, written
@@ -138,6 +139,16 @@ def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similar, pa.float64())], names=["a", "b", "similarity"])
 
 
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each distinct unit of each set as a row, with the set's node, class and size."""
+    for batch in batches:
+        for node, label, data in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "units"))):
+            own = np.unique(np.frombuffer(data, np.uint32)).view(np.int32)
+            for at in range(0, len(own), 100_000):
+                cut = own[at:at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(cut), *[pa.array(np.full(len(cut), x, np.int64)) for x in (node, label, len(own))]], names=["unit", "node", "label", "size"])
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("node"))
@@ -156,6 +167,66 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     return counted.join(other, "b").where(F.least("wa", "wb") >= SIMILARITY * F.greatest("wa", "wb")).select("a", "b", "matches")
 
 
+def untried(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node, label`` of members that share a band with a member of another class, neither being its leader."""
+    own = nodes.join(labels.select(F.col("node").alias("l_node"), "label"), F.col("node") == F.col("l_node"), "left")
+    bands = own.select("node", F.coalesce("label", "node").alias("label"), F.explode("bands").alias("band"))
+    leaders = [F.min(F.col("node").bitwiseXOR(F.lit(s))).alias(f"m{i}") for i, s in enumerate(_SALTS)]
+    named = F.array_distinct(F.array(*[F.col(f"m{i}").bitwiseXOR(F.lit(s)) for i, s in enumerate(_SALTS)]))
+    groups = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), *leaders)
+    mixed = groups.select("band", "n", "l0", "l1", named.alias("leaders")).where((F.col("l0") != F.col("l1")) & (F.col("n") > F.size("leaders") + 1))
+    return bands.join(mixed.select("band", "leaders"), "band").where(~F.array_contains("leaders", F.col("node"))).select("node", "label").distinct()
+
+
+def prefixes(sets: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """``unit, node, label, size, left``: the first units of each member's set, rarest first, that a partner must meet.
+
+    With the units of every set in one order, two sets that reach the similarity share a unit among the first
+    ``n - ceil(s n) + 1`` of each, and from their first shared unit on both still hold (``left``) the ``s / (1 + s)`` of
+    their sizes that they must share.
+    """
+    chosen = sets.join(members.select(F.col("node").alias("m_node"), "label"), F.col("node") == F.col("m_node")).select("node", "label", "units")
+    rows = written(chosen.mapInArrow(_unit_rows, "unit int, node bigint, label bigint, size bigint"), "units")
+    ranked = rows.join(rows.groupBy("unit").agg(F.count("*").alias("n")), "unit")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("n", "unit")))
+    prefix = ranked.where((F.col("rank") <= F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - 1e-6) + 1) & (F.col("n") > 1))
+    return written(prefix.select("unit", "node", "label", "size", (F.col("size") - F.col("rank") + 1).alias("left")), "prefixes")
+
+
+def _may_reach(similarity: float):
+    able = F.least("fa", "left") >= similarity / (1 + similarity) * (F.col("sa") + F.col("size")) - 1e-6
+    return able & (F.least("sa", "size") >= similarity * F.greatest("sa", "size"))
+
+
+def leading_pairs(prefix: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: members of a unit's other classes with the foremost member of its largest one, and those of that one with the next class's."""
+    leader = F.max(F.struct("left", "node", "size"))
+    classes = prefix.groupBy("unit", "label").agg(F.count("*").alias("n"), leader.alias("leader")).groupBy("unit").agg(
+        F.count("*").alias("classes"), F.max(F.struct("n", "label", "leader")).alias("one"), F.min(F.struct("n", "label", "leader")).alias("two")).where("classes > 1")
+    rows = prefix.join(classes.select("unit", "one", "two"), "unit")
+    other = F.when(F.col("label") == F.col("one.label"), F.col("two.leader")).otherwise(F.col("one.leader"))
+    named = rows.select("node", "size", "left", other["node"].alias("a"), other["size"].alias("sa"), other["left"].alias("fa"))
+    return named.where(_may_reach(similarity)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
+def crossing_pairs(prefix: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: all pairs of different classes that may reach the similarity.
+
+    A unit's most frequent class is not joined with itself, so a large group of copies costs its outsiders only.
+    """
+    shares = prefix.groupBy("unit", "label").agg(F.count("*").alias("n")).groupBy("unit").agg(F.count("*").alias("classes"), F.max_by("label", "n").alias("most")).where("classes > 1")
+    left = prefix.join(shares.select("unit", "most"), "unit").where("label <> most")
+    left = left.select(F.col("unit").alias("u"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"), F.col("left").alias("fa"))
+    joined = left.join(prefix, (F.col("u") == F.col("unit")) & (F.col("la") != F.col("label"))).where(_may_reach(similarity))
+    return joined.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
+def _tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, similarity`` of pairs, from their whole shingle sets."""
+    x, y = sets.select(F.col("node").alias("a"), F.col("units").alias("x")), sets.select(F.col("node").alias("b"), F.col("units").alias("y"))
+    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similarities, "a bigint, b bigint, similarity double"), "tested")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(rows ``doc_id, node``, nodes ``node, class_id, first_id``) of all documents."""
     rows = _rows(docs)
@@ -163,7 +234,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     firsts = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"]
     nodes = written(signed.groupBy("node").agg(firsts.alias("first_id"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "nodes")
     pairs = written(candidate_pairs(nodes), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w_node")).distinct()
+    bands = nodes.select("node", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    wanted = bands.join(shared, "band", "left_semi").select(F.col("node").alias("w_node")).distinct()
     wanted = wanted.join(nodes.select("node", "first_id"), F.col("w_node") == F.col("node")).select("w_node", F.col("first_id").alias("w_id"))
     texts = rows.join(wanted, (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
     sets = written(texts.select("node", "text").mapInArrow(_unit_sets, "node bigint, units binary").dropDuplicates(["node"]), "unit_sets")
@@ -180,12 +253,22 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
             best = F.slice(F.sort_array(F.collect_list(F.struct("matches", "b")), asc=False), 1, most)  # a member has at most 3 leaders a band
             picked = open_pairs.groupBy("a").agg(best.alias("p")).select("a", F.explode("p.b").alias("b"))
         picked = picked.select("a", "b")
-        x, y = sets.select(F.col("node").alias("a"), F.col("units").alias("x")), sets.select(F.col("node").alias("b"), F.col("units").alias("y"))
-        tested = written(picked.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similarities, "a bigint, b bigint, similarity double"), "tested")
+        tested = _tested(picked, sets)
         found = tested.where(F.col("similarity") >= similarity).select("a", "b")
         links = found if links is None else links.unionByName(found)
         labels = written(components(links), "labels")
         open_pairs = open_pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    members = written(untried(nodes, labels), "untried")
+    if not members.isEmpty():
+        prefix = prefixes(sets, members, similarity)
+        for pairs_of in (leading_pairs, crossing_pairs):
+            found = _tested(pairs_of(prefix, similarity), sets).where(F.col("similarity") >= similarity).select("a", "b")
+            if found.isEmpty():
+                continue
+            links = links.unionByName(found)
+            labels = written(components(links), "labels")
+            known = labels.select(F.col("node").alias("n"), F.col("label").alias("l"))
+            prefix = prefix.join(known, F.col("node") == F.col("n"), "left").select("unit", "node", F.coalesce("l", "node").alias("label"), "size", "left")
     joined = nodes.select("node", "first_id").join(labels.select(F.col("node").alias("n"), "label"), F.col("node") == F.col("n"), "left")
     labelled = written(joined.select("node", "first_id", F.coalesce("label", "node").alias("label")), "labelled")
     least = labelled.groupBy(F.col("label").alias("c")).agg(F.min(F.struct(F.col("first_id").isNotNull(), "first_id", "node")).alias("least"))

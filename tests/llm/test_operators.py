@@ -164,8 +164,8 @@ def test_line_dedup(docs):
             assert r["kept"] == expected[r["doc_id"], len(sizes[r["doc_id"]])], r["doc_id"]
 
 
-def test_near_duplicates(docs):
-    rows = texts(docs)
+def near_labels(rows):
+    """Class number of each (id, text) by comparing all pairs, and the least id of each class."""
     sets = []
     for _, t in rows:
         w = words(t)
@@ -179,11 +179,54 @@ def test_near_duplicates(docs):
                 old, new = label[a], label[b]
                 label = [new if z == old else z for z in label]
     least = {c: min((rows[k][0] for k in range(len(rows)) if label[k] == c), key=lambda i: (i is not None, i or 0)) for c in set(label)}
+    return label, least
+
+
+def test_near_duplicates(docs):
+    rows = texts(docs)
+    label, least = near_labels(rows)
     got = minhash.near_duplicates(docs).collect()
     assert Counter((r["doc_id"], r["class_id"]) for r in got) == Counter((rows[k][0], least[label[k]]) for k in range(len(rows)))
     assert minhash.keep_first(docs).count() == len(set(label))
 
 
+def test_near_links_that_no_leader_shows(spark):
+    """Variants of one text near the similarity on both sides: members of a band that are unlike its leaders."""
+    r = np.random.default_rng(11)
+    rows = []
+    for family in range(6):
+        words_of_base = [f"w{family}x{k}" for k in range(160)]
+        for branch in range(25):
+            mine = list(words_of_base)
+            for k in r.choice(160, 4, replace=False):
+                mine[k] = f"b{family}x{branch}x{k}"
+            for leaf in range(2):
+                own = list(mine)
+                own[int(r.integers(160))] = f"l{leaf}x{branch}"
+                rows.append((len(rows), " ".join(own)))
+    label, least = near_labels(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["class_id"] for x in minhash.near_duplicates(df).collect()}
+    assert got == {rows[k][0]: least[label[k]] for k in range(len(rows))}
+    assert 20 < len(set(label)) < 300
+
+
+def test_prefix_join_finds_all_links_between_classes(spark):
+    """Every text as its own class: the join alone must give all pairs of at least the similarity."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**31, 120).astype(np.uint32)
+    sets = []
+    for _ in range(60):
+        own = base.copy()
+        own[r.choice(120, int(r.integers(2, 20)), replace=False)] = r.integers(0, 2**31, 1)[0]
+        sets.append(np.unique(own))
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "node long, units binary")
+    members = df.selectExpr("node", "node as label")
+    got = {(x["a"], x["b"]) for x in minhash.crossing_pairs(minhash.prefixes(df, members, 0.8), 0.8).collect()}
+    near = {(a, b) for b in range(60) for a in range(b) if np.intersect1d(sets[a], sets[b]).size >= 0.8 * np.union1d(sets[a], sets[b]).size}
+    assert near and near <= got
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(1)
     base = r.integers(0, 2**63, 400).astype(np.uint64)
