@@ -227,6 +227,20 @@ def _tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similarities, "a bigint, b bigint, similarity double"), "tested")
 
 
+def _joined_classes(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """``node, label`` of all linked nodes once the links ``found`` are added: components of the classes they join."""
+    if labels is None:
+        return written(components(found), "labels")
+    if found.isEmpty():
+        return labels
+    la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    crossing = found.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    classes = written(components(crossing), "joined").select(F.col("node").alias("c"), F.col("label").alias("l"))
+    known = labels.join(classes, F.col("label") == F.col("c"), "left").select("node", F.coalesce("l", "label").alias("label"))
+    new = classes.join(labels, F.col("c") == F.col("node"), "left_anti").select(F.col("c").alias("node"), F.col("l").alias("label"))
+    return written(known.unionByName(new), "labels")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(rows ``doc_id, node``, nodes ``node, class_id, first_id``) of all documents."""
     rows = _rows(docs)
@@ -240,7 +254,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     wanted = wanted.join(nodes.select("node", "first_id"), F.col("w_node") == F.col("node")).select("w_node", F.col("first_id").alias("w_id"))
     texts = rows.join(wanted, (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
     sets = written(texts.select("node", "text").mapInArrow(_unit_sets, "node bigint, units binary").dropDuplicates(["node"]), "unit_sets")
-    links, labels, open_pairs = None, None, pairs.select("a", "b", "matches")
+    labels, open_pairs = None, pairs.select("a", "b", "matches")
     for most in (1, 4, None):
         if labels is not None:
             la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
@@ -254,9 +268,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
             picked = open_pairs.groupBy("a").agg(best.alias("p")).select("a", F.explode("p.b").alias("b"))
         picked = picked.select("a", "b")
         tested = _tested(picked, sets)
-        found = tested.where(F.col("similarity") >= similarity).select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        labels = written(components(links), "labels")
+        labels = _joined_classes(labels, tested.where(F.col("similarity") >= similarity).select("a", "b"))
         open_pairs = open_pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     members = written(untried(nodes, labels), "untried")
     if not members.isEmpty():
@@ -265,8 +277,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
             found = _tested(pairs_of(prefix, similarity), sets).where(F.col("similarity") >= similarity).select("a", "b")
             if found.isEmpty():
                 continue
-            links = links.unionByName(found)
-            labels = written(components(links), "labels")
+            labels = _joined_classes(labels, found)
             known = labels.select(F.col("node").alias("n"), F.col("label").alias("l"))
             prefix = prefix.join(known, F.col("node") == F.col("n"), "left").select("unit", "node", F.coalesce("l", "node").alias("label"), "size", "left")
     joined = nodes.select("node", "first_id").join(labels.select(F.col("node").alias("n"), "label"), F.col("node") == F.col("n"), "left")
