@@ -103,13 +103,23 @@ def _transition(event: Column) -> Column:
 _IDENTITY = list(range(len(V.SCAN_STATUSES)))
 
 
-def _fold(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Compose the transition tables ``t`` of every key in the given order."""
+def event_tables(events: DataFrame) -> DataFrame:
+    """Each event as its transition table (scan_id, ts, seq, t, n)."""
+    return events.select(
+        "scan_id", "ts", "seq", _transition(F.col("event")).alias("t"), F.lit(1).cast("bigint").alias("n"))
+
+
+def composed_in_order(*order: str) -> Column:
+    """Aggregate that composes the transition tables ``t`` of a group in the given order."""
     rows = F.array_sort(F.collect_list(F.struct(*order, "t")))
-    composed = F.aggregate(
+    return F.aggregate(
         rows, F.array(*[F.lit(i) for i in _IDENTITY]),
         lambda acc, e: F.transform(acc, lambda s: F.element_at(e["t"], s + 1)))
-    return df.groupBy(*keys).agg(composed.alias("t"), F.sum("n").alias("n"))
+
+
+def _fold(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Compose the transition tables ``t`` of every key in the given order."""
+    return df.groupBy(*keys).agg(composed_in_order(*order).alias("t"), F.sum("n").alias("n"))
 
 
 def transitions(events: DataFrame, buckets: tuple[str, ...] = ("1 minute", "1 day")) -> DataFrame:
@@ -119,8 +129,7 @@ def transitions(events: DataFrame, buckets: tuple[str, ...] = ("1 minute", "1 da
     minutes into days, days into the scan. A scan with a third of all events is spread over its
     buckets, and what finally meets in one place is nine integers per day.
     """
-    folded = events.select(
-        "scan_id", "ts", "seq", _transition(F.col("event")).alias("t"), F.lit(1).cast("bigint").alias("n"))
+    folded = event_tables(events)
     order = ["ts", "seq"]
     for width in buckets:
         bucketed = folded.withColumn("bucket", F.window("ts", width)["start"])
@@ -142,6 +151,7 @@ def fold_status(events: DataFrame, start: str = "CREATED") -> DataFrame:
     return status_of(transitions(events), start)
 
 
-def fold_batches(log: DataFrame, start: str = "CREATED") -> DataFrame:
-    """STA3 over a log of per-batch transition tables (scan_id, batch_id, t, n)."""
-    return status_of(_fold(log, ["scan_id"], ["batch_id"]), start)
+def fold_buckets(buckets: DataFrame, start: str = "CREATED") -> DataFrame:
+    """STA3 over closed event-time buckets (scan_id, ts, t, n), composed in the order of their times, day by day first."""
+    days = _fold(buckets.withColumn("bucket", F.window("ts", "1 day")["start"]), ["scan_id", "bucket"], ["ts"])
+    return status_of(_fold(days, ["scan_id"], ["bucket"]), start)

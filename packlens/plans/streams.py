@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlens.operators.review import fold_batches, upsert_declarations
+from packlens.operators.review import fold_buckets, upsert_declarations
 from packlens.plans.decisions import _UPSERT, fresh, status_events, stored
 from packlens.plans.registry import ORACLES, query
 from packlens.plans.sql_parts import with_tables
@@ -38,15 +38,25 @@ def sta5(spark, d):
     return trend.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("sta3_status_machine_stream", ORACLES.get("sta3_status_machine"))
+def shuffled_files(df: DataFrame, files: int = 4) -> str:
+    """Folder with the rows in ``files`` files, written one after the other, each row up to an hour after its time."""
+    folder = f"{shared_folder(df.sparkSession)}/incoming"
+    arrives = F.unix_micros("ts") + F.col("seq") % 4 * 1_200_000_000
+    low, high = df.agg(F.min(arrives), F.max(arrives)).first()
+    number = ((arrives - F.lit(low or 0)) * files / F.lit((high or 0) - (low or 0) + 1)).cast("int")
+    for k in range(files):
+        df.where(number == k).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+@query("sta3_status_machine_stream", ORACLES["sta3_status_machine"].replace(
+    " FROM events)", " FROM events WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events))"))
 def sta3_stream(spark, d):
-    names = F.array(*[F.lit(x) for x in ("upload", "process", "ocr_done", "extract", "last_image_deleted", "all_failed", "view")])
-    events = event_stream(spark, d).select(
-        F.col("user_id").alias("scan_id"), F.element_at(names, ((F.col("event_id") * 5 + F.col("user_id")) % 7 + 1).cast("int")).alias("event"),
-        "ts", F.col("event_id").alias("seq"))
-    folder = shared_folder(spark)
-    ST.drain(events, ST.status_batches(f"{folder}/log"), f"{folder}/checkpoint")
-    return fold_batches(spark.read.parquet(f"{folder}/log"))
+    """Events from files that overlap in time, one a micro-batch; minutes that end two hours before the last event are closed."""
+    events = status_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = shuffled_files(events)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return fold_buckets(ST.run_to_table(spark, ST.status_buckets(stream)))
 
 
 @query("sta1_upsert_stream", with_tables("declarations") + ", " + _UPSERT)

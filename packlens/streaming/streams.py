@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlens.operators.review import transitions, upsert_declarations
+from packlens.operators.review import composed_in_order, event_tables, upsert_declarations
 from packlens.session import shared_folder
 
 
@@ -27,17 +27,17 @@ def action_trend(events: DataFrame, ts: str = "ts", width: str = "1 hour", delay
     )
 
 
-def status_batches(log_path: str) -> Callable[[DataFrame, int], None]:
-    """STA3 as a ``foreachBatch`` sink: each micro-batch becomes one transition table per scan.
+def status_buckets(events: DataFrame, delay: str = "2 hours", width: str = "1 minute") -> DataFrame:
+    """STA3 as a stream of closed buckets (scan_id, ts, t, n): the events of a scan and minute as one transition table.
 
-    The log holds nine integers per scan and batch whatever the number of events; a repeated batch
-    overwrites its own folder. Read it with :func:`packlens.operators.review.fold_batches`.
+    Events may come in any order within ``delay``; a bucket is emitted once, when the watermark has passed it, and
+    then leaves the state. Later events of a closed bucket are ignored. Compose the buckets with
+    :func:`packlens.operators.review.fold_buckets`.
     """
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        transitions(batch).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
-
-    return apply
+    tables = event_tables(events).withWatermark("ts", delay)
+    closed = tables.groupBy("scan_id", F.window("ts", width).alias("w")).agg(
+        composed_in_order("ts", "seq").alias("t"), F.sum("n").alias("n"))
+    return closed.select("scan_id", F.col("w.start").alias("ts"), "t", "n")
 
 
 def upsert_batches(existing_path: str) -> Callable[[DataFrame, int], None]:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from packlens.operators.analytics import context_savings
 from packlens.operators.conversation import context_counts, select_context
-from packlens.operators.review import upsert_declarations
+from packlens.operators.review import fold_buckets, fold_status, upsert_declarations
 from packlens.operators.rules import rules_as_of
 from packlens.streaming import streams as ST
 
@@ -59,3 +59,15 @@ def test_streamed_upsert_equals_batch(spark, tmp_path):
     ST.drain(stream, ST.upsert_batches(f"{folder}/table"), f"{folder}/checkpoint")
     got, expected = spark.read.parquet(f"{folder}/table/v=3"), upsert_declarations(existing, fresh)
     assert sorted(map(str, got.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
+
+
+def test_streamed_statuses_follow_event_time(spark, tmp_path):
+    """Files out of order give the same status as the batch fold; minutes the watermark has not passed stay open."""
+    rows = [(1, "upload", 0, 1), (1, "process", 70, 2), (1, "ocr_done", 75, 3), (1, "extract", 200, 4), (2, "upload", 10, 5), (2, "last_image_deleted", 20, 6), (3, "upload", 90_000, 7)]
+    df = spark.createDataFrame(rows, "scan_id int, event string, s long, seq long").selectExpr("scan_id", "event", "timestamp_seconds(1600000000 + s) ts", "seq")
+    for seq in ((3, 6), (1, 4), (5, 2), (7,)):
+        df.where(F.col("seq").isin(*seq)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/incoming")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/incoming")
+    got = fold_buckets(ST.run_to_table(spark, ST.status_buckets(stream))).collect()
+    assert sorted(got) == sorted(fold_status(df.where("scan_id < 3")).collect())
+    assert {r["scan_id"]: r["status"] for r in got} == {1: "DECLARATIONS_EXTRACTED", 2: "CREATED"}
