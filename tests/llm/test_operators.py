@@ -54,6 +54,13 @@ def test_failing_match_hides_what_it_covers(spark):
     assert secret_scan.secret_report(df).first()["n_assign"] == 0
 
 
+def test_spans_of_repeated_rows(spark):
+    text = "0123456789 token: abcdef1234 and secret=zyxwvu9876 then AKIA" + "Z" * 20
+    df = spark.createDataFrame([(1, text), (1, text), (1, text), (2, text), (None, text), (None, text)], "doc_id long, text string")
+    got = secret_scan.secret_report(df).collect()
+    assert len(got) == 6 and {r["spans"] for r in got} == {"assign:11:28,assign:33:50,access:56:80"}
+
+
 def test_ledger_scans_only_unseen(spark, odd, tmp_path):
     path = str(tmp_path / "ledger")
     first = sorted(map(str, secret_scan.secret_report(odd, path).collect()))
