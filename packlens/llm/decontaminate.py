@@ -35,7 +35,7 @@ SLOP = 4
 
 _WORD_BYTES = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _FOLD = bytes((c + 32 if 0x41 <= c <= 0x5A else c if c in _WORD_BYTES else 0x20) for c in range(256))
-_INDEX = ("doc_ids array<bigint>, starts array<int>, terms binary, counts binary, positions binary")
+_INDEX = ("doc_ids array<bigint>, nodes array<bigint>, starts array<int>, terms binary, counts binary, positions binary")
 _STATE = "cover binary, items array<string>, n_near array<bigint>"
 
 
@@ -58,15 +58,16 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         postings = np.argsort(terms, kind="stable").astype(np.int32)
         counts = np.bincount(terms, minlength=len(own)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([
-            pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([starts], pa.list_(pa.int32())),
+            pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([part.column("node").to_pylist()], pa.list_(pa.int64())), pa.array([starts], pa.list_(pa.int32())),
             pa.array([hashes[by_hash].tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()),
             pa.array([zstandard.compress(np.diff(postings, prepend=np.int32(0)).tobytes(), 1)], pa.binary()),
-        ], names=["doc_ids", "starts", "terms", "counts", "positions"])
+        ], names=["doc_ids", "nodes", "starts", "terms", "counts", "positions"])
 
 
 def build_index(docs: DataFrame) -> DataFrame:
     """Index segments of ``doc_id, text`` rows, to be written once and searched by any number of benchmarks."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
     return rows.mapInArrow(_segments, _INDEX)
 
 
@@ -161,11 +162,11 @@ def _search(block, slop: int):
                     cover = cover | np.unpackbits(np.frombuffer(segment["cover"], np.uint8), count=len(cover)).astype(bool)
                     items = [a | set(filter(None, b.split("\x00"))) for a, b in zip(items, segment["items"])]
                     near = near + np.array(segment["n_near"], np.int64)
-                keep = [one.column(c) for c in ("doc_ids", "starts", "terms", "counts", "positions")]
+                keep = [one.column(c) for c in ("doc_ids", "nodes", "starts", "terms", "counts", "positions")]
                 yield pa.RecordBatch.from_arrays([
                     *keep, pa.array([np.packbits(cover).tobytes()], pa.binary()),
                     pa.array([["\x00".join(sorted(x)) for x in items]], pa.list_(pa.string())), pa.array([near.tolist()], pa.list_(pa.int64())),
-                ], names=["doc_ids", "starts", "terms", "counts", "positions", "cover", "items", "n_near"])
+                ], names=["doc_ids", "nodes", "starts", "terms", "counts", "positions", "cover", "items", "n_near"])
     return run
 
 
@@ -179,10 +180,10 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit = total[starts[1:]] - total[starts[:-1]]
             items = [sorted(filter(None, x.split("\x00"))) for x in segment["items"]]
             yield pa.RecordBatch.from_arrays([
-                pa.array(segment["doc_ids"], pa.int64()), pa.array(n), pa.array(hit), pa.array([len(x) for x in items], pa.int64()),
+                pa.array(segment["doc_ids"], pa.int64()), pa.array(segment["nodes"], pa.int64()), pa.array(n), pa.array(hit), pa.array([len(x) for x in items], pa.int64()),
                 pa.array(items, pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
                 pa.array(segment["n_near"], pa.int64()), pa.array((hit > 0) & (20 * hit >= n)),
-            ], names=["doc_id", "n_words", "n_hit", "n_items", "item_ids", "items_sha256", "n_near", "contaminated"])
+            ], names=["doc_id", "node", "n_words", "n_hit", "n_items", "item_ids", "items_sha256", "n_near", "contaminated"])
 
 
 def _frequencies(terms):
@@ -217,7 +218,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
         counted = index.select("terms", "counts").mapInArrow(_frequencies(context.broadcast(block.terms)), "term bigint, n bigint")
         frequency = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
         state = state.mapInArrow(_search(context.broadcast(block.ranked(frequency)), slop), f"{_INDEX}, {_STATE}")
-    return state.mapInArrow(_verdicts, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, item_ids array<string>, items_sha256 string, n_near bigint, contaminated boolean")
+    return state.mapInArrow(_verdicts, "doc_id bigint, node bigint, n_words bigint, n_hit bigint, n_items bigint, item_ids array<string>, items_sha256 string, n_near bigint, contaminated boolean")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -226,6 +227,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without the contaminated ones; rows that share an id go together."""
-    found = written(decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("found_id")).distinct(), "contaminated")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left_anti")
+    """Documents without the contaminated ones; an id and a text (by hash) name a row, so other texts under its id stay."""
+    found = decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("found_id"), F.col("node").alias("found_node")).distinct()
+    found = written(found, "contaminated")
+    same = docs["doc_id"].cast("long").eqNullSafe(found["found_id"]) & (F.xxhash64(docs["text"].cast("string")) == found["found_node"])
+    return docs.join(found, same, "left_anti")

@@ -7,10 +7,11 @@ the token budget is a source's budget: whole epochs, then a part of one more. Do
 permutation of blocks; the part of an epoch is the longest prefix of that permutation that fits, found from
 block sums first and rows of one block after. Each epoch permutes blocks and documents anew.
 
-A source with a third of all rows is no hot group: it is only ever summed by (source, block).
+A source with a third of all rows is no hot group: it is only ever summed by (source, block) or (source, place). Rows of one id
+with other texts have places of their own; equal rows lie side by side, told apart by the low bits of the place.
 
 Defined results: tokens are white-space words; null and empty texts have no tokens and follow their source; null source
-is a source of its own; rows with one id are taken or left together; a table without tokens keeps every row once;
+is a source of its own; null and shared ids are ids like others; of equal rows as many are taken as fit (which is open, they are equal); a table without tokens keeps every row once;
 an empty table gives no rows; other columns do not matter.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packlens.llm.common import written
@@ -27,14 +28,26 @@ from packlens.llm.common import written
 TARGET_ENTROPY, MAX_REPEATS = 0.97, 4.0
 SEED = 17
 _BLOCKS, _POINTS, _PASSES = 4096, 16, 6
+#: Low bits of a place that tell equal rows apart.
+_TIE = (1 << 16) - 1
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, tokens`` and ``place``, the 63-bit place of the document in its source's permutation."""
+def _place() -> Column:
+    """63-bit place in the source's permutation: hash of id and text, then bits of the row. The row bits hold for one reading only,
+    so a place is written once and read from there."""
+    named = F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("string")))
+    return F.shiftrightunsigned(named, 1).bitwiseAND(F.lit(~_TIE)).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(_TIE)))
+
+
+def _tokens() -> Column:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.when(F.length(F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))) == 0, 0).otherwise(F.regexp_count(text, F.lit("[^ \\t-\\r]+")))
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))), 1)
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), words.cast("long").alias("tokens"), place.alias("place"))
+    return words.cast("long")
+
+
+def token_counts(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, tokens`` and ``place``, the 63-bit place of the row in its source's permutation."""
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), _tokens().alias("tokens"), _place().alias("place"))
 
 
 def _measures(totals: DataFrame, exponents: list[float], budget: float) -> list[tuple[float, float]]:
@@ -102,6 +115,7 @@ def source_plan(counts: DataFrame, entropy: float | None = None, max_repeats: fl
     edge = running.where("rest > 0 and upto > rest and upto - tokens <= rest").select(F.col("source").alias("e_source"), F.col("block").alias("e_block"), (F.col("rest") - (F.col("upto") - F.col("tokens"))).alias("room"))
     edge = edge.groupBy("e_source").agg(F.min(F.struct("e_block", "room")).alias("edge")).select("e_source", "edge.*")
     inside = counts.select("source", "place", "tokens", block.alias("block")).join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("block") == F.col("e_block")))
+    inside = inside.groupBy("e_source", "place").agg(F.sum("tokens").alias("tokens"), F.first("room").alias("room"))
     ordered = inside.select("e_source", "place", "room", F.sum("tokens").over(Window.partitionBy("e_source").orderBy("place")).alias("upto"))
     last = ordered.groupBy(F.col("e_source").alias("c_source")).agg(F.max(F.when(F.col("upto") <= F.col("room"), F.col("place"))).alias("last"))
     start = F.shiftleft(F.col("e_block").cast("long"), 51) - 1
@@ -110,13 +124,12 @@ def source_plan(counts: DataFrame, entropy: float | None = None, max_repeats: fl
     return joined.select(F.col("p_source").alias("source"), "total", "share", "weight", "budget", "epochs", F.coalesce("cut", F.lit(-1)).cast("long").alias("cut"))
 
 
-def copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with ``mix_copies``, the number of epochs that hold the row."""
+def copies(rows: DataFrame, plan: DataFrame, place: str = "place") -> DataFrame:
+    """``rows`` (with their places) with ``mix_copies``, the number of epochs that hold the row."""
     limits = plan.select(F.col("source").alias("m_source"), F.col("epochs").alias("m_epochs"), F.col("cut").alias("m_cut"))
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.coalesce(docs["doc_id"].cast("long"), F.lit(0))), 1)
-    joined = docs.join(limits, docs["source"].cast("string").eqNullSafe(F.col("m_source")), "left")
-    number = F.coalesce(F.col("m_epochs") + (place <= F.col("m_cut")).cast("long"), F.lit(1))
-    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], number.cast("int").alias("mix_copies"))
+    joined = rows.join(limits, rows["source"].cast("string").eqNullSafe(F.col("m_source")), "left")
+    number = F.coalesce(F.col("m_epochs") + (rows[place] <= F.col("m_cut")).cast("long"), F.lit(1))
+    return joined.select(*[rows[f"`{c}`"] for c in rows.columns], number.cast("int").alias("mix_copies"))
 
 
 def mixed(docs: DataFrame, entropy: float | None = None, max_repeats: float = MAX_REPEATS) -> DataFrame:
@@ -124,14 +137,15 @@ def mixed(docs: DataFrame, entropy: float | None = None, max_repeats: float = MA
     counts = written(token_counts(docs), "tokens")
     plan = written(source_plan(counts, entropy, max_repeats), "plan")
     taken = copies(counts, plan).where("mix_copies > 0")
-    rows = taken.select("doc_id", "source", "tokens", F.shiftrightunsigned("place", 51).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("epoch"))
+    rows = taken.select("doc_id", "source", "tokens", "place", F.shiftrightunsigned("place", 51).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("epoch"))
     key = lambda *columns: F.xxhash64(F.lit(SEED), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return rows.select("doc_id", "source", "tokens", "epoch", "block", key("source", "epoch", "block").alias("block_order"), key("epoch", "doc_id").alias("row_order"))
+    return rows.select("doc_id", "source", "tokens", "epoch", "block", key("source", "epoch", "block").alias("block_order"), key("epoch", "place").alias("row_order"))
 
 
 def take_mixture(docs: DataFrame) -> DataFrame:
     """The documents as often as the mixture has them."""
-    plan = written(source_plan(written(token_counts(docs), "tokens")), "plan")
-    taken = copies(docs, plan).where("mix_copies > 0")
+    placed = written(docs.select("*", _tokens().alias("mix_tokens"), _place().alias("mix_place")), "placed")
+    plan = written(source_plan(placed.select(F.col("source").cast("string").alias("source"), F.col("mix_tokens").alias("tokens"), F.col("mix_place").alias("place"))), "plan")
+    taken = copies(placed, plan, "mix_place").where("mix_copies > 0")
     rows = taken.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

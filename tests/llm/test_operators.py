@@ -13,6 +13,8 @@ from packlens.llm import decontaminate, line_dedup, minhash, mixing, packing, qu
 SPACES = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
+PLAIN_WORDS = "some ordinary words that no benchmark item has ever used before in this or any other order"
+
 
 def words(text):
     return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -261,6 +263,29 @@ def test_mixture_meets_entropy_and_budget(spark):
     assert mixing.take_mixture(df).count() == sum(copies.values())
 
 
+def test_mixture_of_rows_with_one_id(spark):
+    """A source above its weight whose rows share the null id, and one of equal rows, lose the part that does not fit and no more."""
+    rows = [(None, f"w {i} w", "big") for i in range(2000)] + [(7, "same old words", "equal")] * 1000 + [(i, "w w w", f"s{i % 3}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {r["source"]: r for r in mixing.source_plan(mixing.token_counts(df)).collect()}
+    assert plan["big"]["budget"] < plan["big"]["total"] and plan["equal"]["budget"] % plan["equal"]["total"]
+    for shown in (mixing.mixed(df), mixing.take_mixture(df)):
+        tokens = {r["source"]: 3 * r["count"] for r in shown.groupBy("source").count().collect()}
+        for source in ("big", "equal"):
+            assert plan[source]["budget"] - 9 <= tokens[source] <= plan[source]["budget"]
+    counts = {(r["source"], r["block"]) for r in mixing.mixed(df).where("source = 'big'").collect()}
+    assert len(counts) > 500
+
+
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark):
+    leak = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix"
+    rows = [(None, leak), (None, PLAIN_WORDS), (None, None), (1, leak), (1, PLAIN_WORDS), (2, PLAIN_WORDS), (3, leak)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([("fox", leak)], "item_id string, text string")
+    got = Counter(tuple(r) for r in decontaminate.keep_clean(df, bench).collect())
+    assert got == Counter([(None, PLAIN_WORDS), (None, None), (1, PLAIN_WORDS), (2, PLAIN_WORDS)])
+
+
 def test_decontamination(spark, sample, docs):
     bench = spark.read.parquet(f"{sample}/benchmark.parquet").selectExpr("item_id", "text", "1 as node")
     items = [(str(r["item_id"]), r["text"]) for r in bench.collect()] + [("short", "one"), ("nil", None), ("fox", "the quick brown fox jumps over the lazy dog while seven wizards quietly mix")]
