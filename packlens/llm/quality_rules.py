@@ -3,8 +3,9 @@
 Counts of every whole text are taken in one map pass. For each (lang, source) a log-bucket quantile sketch of each ratio
 is built as plain group counts: bucket counts of two sketches add up, so partial sketches merge map-side and
 sketches of sources merge into those of their language and of the corpus without reading the texts again. Thresholds
-are fences above the upper quartile; a group with few documents takes the sketch of its language, then of the
-corpus. Verdicts are a join of counts with thresholds on (lang, source).
+are fences above the upper quartile of the documents that pass the base rules; a group with few of them takes the sketch of its
+language, then of the corpus. Where a sketch has no spread at all, a share of ``TINY`` stands in for the fence, and a few offending
+items (``RATIOS``) never fail a document. Verdicts are a join of counts with thresholds on (lang, source).
 
 Words are runs of ``[^\\x20\\x09-\\x0D]+``. Fixed base rules: fewer than 20 words, or more than 30 % of the words in
 8-word windows that occur twice.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packlens.llm.common import as_bytes, written
@@ -31,13 +32,16 @@ STRUCT = "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">"
 MIN_WORDS, REPEAT_PERCENT, RUN = 20, 30, 8
 #: Relative error of a sketch, documents a group needs for thresholds of its own, width of the fence in interquartile ranges.
 ERROR, MIN_GROUP, FENCE = 0.02, 200, 3.0
-#: Ratios and the least value any threshold may have, so that a group of uniform texts does not reject ordinary ones.
+#: Limit of a share whose upper quartile is zero.
+TINY = 0.01
+#: Ratios, the count of offending items and how many of these any document may have, so that one repeated line or a short text's few
+#: capitals do not fail it.
 RATIOS = {
-    "symbols": ("n_symbols / word_chars", 0.05),
-    "caps": ("n_caps / word_chars", 0.4),
-    "dup_lines": ("n_dup_lines / n_lines", 0.4),
-    "repeats": ("n_repeat_words / n_words", 0.25),
-    "word_length": ("word_chars / n_words", 14.0),
+    "symbols": ("n_symbols / word_chars", "n_symbols", 10),
+    "caps": ("n_caps / word_chars", "n_caps", 20),
+    "dup_lines": ("n_dup_lines / n_lines", "n_dup_lines", 2),
+    "repeats": ("n_repeat_words / n_words", "n_repeat_words", 4 * RUN),
+    "word_length": ("word_chars / n_words", "word_chars", 100),
 }
 
 _SPACES = b" \t\n\r\x0b\x0c"
@@ -115,34 +119,38 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quartile_fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Upper fence of each ratio and group, with the number of values behind it."""
+    """Upper fence of each ratio and group, with the number of values behind it; its width is three sketch errors at least."""
     window = Window.partitionBy(*keys, "ratio")
     ranked = sketch.select("*", F.sum("n").over(window).alias("total"), F.sum("n").over(window.orderBy(F.col("bucket").asc_nulls_first())).alias("upto"))
     value = F.coalesce(F.pow(F.lit(1 + ERROR), F.col("bucket") + 0.5), F.lit(0.0))
     low, high = (F.min(F.when(F.col("upto") >= q * F.col("total"), value)) for q in (0.25, 0.75))
-    return ranked.groupBy(*keys, "ratio").agg((high + FENCE * (high - low)).alias("fence"), F.max("total").alias("n"))
+    return ranked.groupBy(*keys, "ratio").agg(F.when(high > 0, high + FENCE * F.greatest(high - low, ERROR * high)).otherwise(TINY).alias("fence"), F.max("total").alias("n"))
+
+
+def _base_failed() -> Column:
+    c = F.col("rule_counts")
+    return (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > REPEAT_PERCENT * c["n_words"])
 
 
 def thresholds(counted: DataFrame) -> DataFrame:
-    """One row per (lang, source) with a map ``limits`` from ratio to threshold."""
-    fine = written(sketches(counted, ["lang", "source"]), "sketches")
+    """One row per (lang, source) with the threshold of each ratio; documents that fail a base rule do not set thresholds."""
+    fine = written(sketches(counted.where(~_base_failed()), ["lang", "source"]), "sketches")
     by_lang = quartile_fences(merged(fine, ["lang"]), ["lang"]).select(F.col("lang").alias("l"), F.col("ratio").alias("r"), F.col("fence").alias("f_lang"), F.col("n").alias("n_lang"))
     overall = quartile_fences(merged(fine, []), []).select(F.col("ratio").alias("o"), F.col("fence").alias("f_all"))
     own = quartile_fences(fine, ["lang", "source"])
     joined = own.join(by_lang, own["lang"].eqNullSafe(by_lang["l"]) & (own["ratio"] == by_lang["r"]), "left").join(overall, F.col("ratio") == F.col("o"), "left")
     fence = F.when(F.col("n") >= MIN_GROUP, F.col("fence")).when(F.col("n_lang") >= MIN_GROUP, F.col("f_lang")).otherwise(F.col("f_all"))
-    least = F.element_at(F.create_map(*[x for r, (_, v) in RATIOS.items() for x in (F.lit(r), F.lit(v))]), F.col("ratio"))
-    limits = joined.select("lang", "source", "ratio", F.greatest(fence, least).alias("limit"))
+    limits = joined.select("lang", "source", "ratio", fence.alias("limit"))
     return limits.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).pivot("ratio", list(RATIOS)).agg(F.first("limit"))
 
 
 def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
     """``counted`` with boolean columns ``rule_failed`` (a base rule) and ``rule_kept``."""
     c = F.col("rule_counts")
-    base_failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > REPEAT_PERCENT * c["n_words"])
+    base_failed = _base_failed()
     beyond = F.lit(False)
-    for r in RATIOS:
-        beyond = beyond | F.coalesce(_ratio(r) > F.col(f"limit_{r}"), F.lit(False))
+    for r, (_, items, few) in RATIOS.items():
+        beyond = beyond | F.coalesce((_ratio(r) > F.col(f"limit_{r}")) & (c[items] > few), F.lit(False))
     limits = limits.select("t_lang", "t_source", *[F.col(r).alias(f"limit_{r}") for r in RATIOS])
     joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     return joined.select(*[counted[f"`{x}`"] for x in counted.columns], base_failed.alias("rule_failed"), (~base_failed & ~beyond).alias("rule_kept"))

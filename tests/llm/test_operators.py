@@ -146,6 +146,24 @@ def test_rules_keep_good_and_reject_junk(spark):
     assert share[1] > 0.95 and share[0] < 0.1
 
 
+def test_sketches_set_the_limits(spark):
+    """The same share of capitals, symbols or long words passes in a source where it is usual and fails where it is not."""
+    r = np.random.default_rng(4)
+
+    def text(capitals, letters, symbols=0):
+        own = ["".join(chr(97 + c) for c in r.integers(0, 26, letters + int(r.integers(0, 2)))) for _ in range(100)]
+        own = [w.capitalize() if k < capitals + int(r.integers(0, 4)) else w for k, w in enumerate(own)]
+        return " ".join(own) + " " + "#" * symbols
+
+    rows = [(i, text(*((4, 4), (60, 9))[i % 2]), "en", ("plain", "loud")[i % 2]) for i in range(600)]
+    odd_ones = [(60, 4), (4, 9), (4, 4, 16)]
+    rows += [(1000 + 10 * k + s, text(*x), "en", ("plain", "loud")[s]) for k, x in enumerate(odd_ones) for s in (0, 1)]
+    kept = {x["doc_id"]: x["kept"] for x in quality_rules.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert np.mean([kept[i] for i in range(600)]) > 0.97
+    assert [kept[1000 + 10 * k] for k in range(3)] == [False] * 3
+    assert kept[1011] and not kept[1021]
+
+
 def test_line_dedup(docs):
     rows = sorted({(i, t or "") for i, t in texts(docs)}, key=order)
     full, sub, less, expected = set(), set(), set(), {}
