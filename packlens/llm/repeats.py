@@ -9,7 +9,7 @@ that start at anchors with equal 24-byte strings, and about one place in 39 is a
 3. Per anchor string, sort the suffixes, compute common-prefix lengths, and scan them with a stack into the tree of
    intervals. At each left extent the members of an interval are split by their left context; a class of two or more
    is a group of equal windows with all its occurrences. A group whose members differ in the byte before it is
-   left-maximal and starts a maximal repeat.
+   left-maximal and starts maximal repeats; ``repeat_groups`` follows them to their ends.
 4. An occurrence that is not the first of its group is removed. Anchor strings with more than ``GROUP`` places are
    dealt over several tasks; what is first in a part then meets as window hashes in an aggregate.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packlens.llm.common import as_bytes, parts, written
@@ -273,18 +273,60 @@ def _span_batch(d, node, first, last, w) -> pa.RecordBatch:
                                       names=["d", "node", "first", "last", "w"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Left-maximal groups: classes whose members differ in the byte before them, with every occurrence."""
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows that can start a maximal repeat: those of classes that differ in the byte before them (``w`` null), and all windows of split
+    groups (``w``: their hash), since a part does not show its whole class. ``before`` is -1 at the beginning of a text."""
     for m in _bundles(batches):
-        for extent, rows, number, depth in equal_windows(m["group"], m["left"], m["right"], m["near"], m["far"]):
-            before = np.where(extent < m["left_size"][rows], m["left"][rows, min(extent, PLACES - 1)].astype(np.int64), -1 - np.arange(len(rows)))
+        def before(rows: np.ndarray, extents) -> np.ndarray:
+            return np.where(extents < m["left_size"][rows], m["left"][rows, extents].astype(np.int64), -1)
+
+        for extent, rows, number, _ in equal_windows(m["group"], m["left"], m["right"], m["near"], m["far"]):
+            own = before(rows, extent)
             starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-            diverse = np.minimum.reduceat(before, starts) != np.maximum.reduceat(before, starts)
-            keep = diverse[np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))]
-            rows, depth = rows[keep], depth[keep]
-            names = [_window_hash(m["left"][i].tobytes(), m["right"][i].tobytes(), extent) for i in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(m["d"][rows], pa.int64()), pa.array(m["node"][rows], pa.int64()), pa.array(m["a"][rows] - extent, pa.int64()), pa.array(extent + depth, pa.int64())],
-                                             names=["group_id", "d", "node", "first", "length"])
+            least = np.minimum.reduceat(own, starts)
+            diverse = (least < 0) | (least != np.maximum.reduceat(own, starts))
+            keep = diverse[np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))] & ~m["split"][rows]
+            rows = rows[keep]
+            yield _start_batch(m["d"][rows], m["node"][rows], m["a"][rows] - extent, own[keep], None)
+        split = np.flatnonzero(m["split"])
+        extents = np.arange(PLACES)
+        r, e = np.nonzero((extents >= m["near"][split, None]) & (extents <= m["far"][split, None]))
+        for at in range(0, len(r), 50_000):
+            x, y = split[r[at:at + 50_000]], e[at:at + 50_000]
+            hashes = [_window_hash(m["left"][i].tobytes(), m["right"][i].tobytes(), int(k)) for i, k in zip(x, y)]
+            yield _start_batch(m["d"][x], m["node"][x], m["a"][x] - y, before(x, y), hashes)
+
+
+def _start_batch(d, node, first, before, w) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(node, pa.int64()), pa.array(first, pa.int64()), pa.array(before, pa.int64()), pa.array(w if w is not None else [None] * len(d), pa.binary())],
+                                      names=["d", "node", "first", "before", "w"])
+
+
+_PREFIX = "d bigint, node bigint, first bigint, before bigint, k bigint, length bigint, next bigint, name binary"
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of what follows the wanted starts: at each multiple of 100 bytes (``k`` null), or at every length from the k-th multiple up to
+    the next, with the byte that comes then (-1 at the end of the text)."""
+    names = [x.split()[0] for x in _PREFIX.split(",")]
+    types = [pa.int64()] * 7 + [pa.binary()]
+    for part in parts(batches):
+        out: list[tuple] = []
+        for text, d, node, wanted in zip(as_bytes(part.column("text")), part.column("d").to_pylist(), part.column("node").to_pylist(), part.column("wanted").to_pylist()):
+            for s in wanted:
+                first, k = s["first"], s["k"]
+                begin = LENGTH * (k or 1)
+                state = hashlib.blake2b(text[first:first + begin], digest_size=16)
+                step, end = (LENGTH, len(text) - first) if k is None else (1, min(len(text) - first, begin + LENGTH - 1))
+                for length in range(begin, end + 1, step):
+                    if length > begin:
+                        state.update(text[first + length - step:first + length])
+                    out.append((d, node, first, s["before"], k or length // LENGTH, length, text[first + length] if first + length < len(text) else -1, state.digest()))
+                if len(out) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,10 +356,32 @@ def _sorted_members(docs: DataFrame) -> DataFrame:
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:
-    """Left-maximal groups of equal strings: ``group_id`` (hash of the first 100 bytes), ``doc_id``, ``first``, ``length`` (common length as far as
-    the context shows, 100 at least), one row per occurrence. Groups split over tasks appear once per part."""
-    found = _sorted_members(docs).mapInArrow(_groups, "group_id binary, d bigint, node bigint, first bigint, length bigint")
-    return found.select("group_id", F.when(F.col("d") != _FIRST, F.col("d")).alias("doc_id"), "first", "length").distinct()
+    """All maximal repeats of at least 100 bytes with all occurrences: ``group_id`` (hash of the string), ``doc_id``, ``first``, ``length``.
+
+    A repeat is maximal if its occurrences differ in the byte before and in the byte after it; text ends differ from all. A longer
+    repeat inside the occurrences of a shorter one is a group of its own. Starts come from the intervals (windows of split anchor strings meet by
+    hash); hashes at multiples of 100 bytes show where a class gets smaller, and only there every length is tried.
+    """
+    found = written(_sorted_members(docs).mapInArrow(_starts, "d bigint, node bigint, first bigint, before bigint, w binary"), "starts")
+    differ = lambda c: (F.min(c) < F.max(c)) | (F.min(c) < 0)
+    windows = found.where("w is not null")
+    wide = windows.groupBy("w").agg(F.count("*").alias("n"), differ("before").alias("left")).where("n > 1 and left").select("w")
+    columns = ["d", "node", "first", "before"]
+    starts = written(found.where("w is null").select(*columns).unionByName(windows.join(wide, "w").select(*columns)), "open_starts")
+    rows = _rows(docs).select("d", "node", "text")
+
+    def prefixes(wanted: DataFrame) -> DataFrame:
+        by_text = wanted.groupBy(F.col("d").alias("wd"), F.col("node").alias("wn")).agg(F.collect_set(F.struct("first", "before", "k")).alias("wanted"))
+        texts = rows.join(by_text, (F.col("d") == F.col("wd")) & (F.col("node") == F.col("wn"))).select("d", "node", "text", "wanted")
+        return texts.mapInArrow(_prefixes, _PREFIX).dropDuplicates(["d", "node", "first", "length"])  # repeated rows count once
+
+    marks = written(prefixes(starts.withColumn("k", F.lit(None).cast("bigint"))), "marks")
+    counted = marks.join(marks.groupBy("name").agg(F.count("*").alias("n")), "name").where("n > 1")
+    following = F.coalesce(F.lead("n").over(Window.partitionBy("d", "node", "first").orderBy("k")), F.lit(0))
+    smaller = counted.select(*columns, "k", "n", following.alias("following")).where("following < n").select(*columns, "k")
+    tried = written(prefixes(smaller), "prefixes")
+    maximal = tried.groupBy("name").agg(F.count("*").alias("n"), differ("before").alias("left"), differ("next").alias("right")).where("n > 1 and left and right").select("name")
+    return tried.join(maximal, "name").select(F.col("name").alias("group_id"), F.when(F.col("d") != _FIRST, F.col("d")).alias("doc_id"), "first", "length")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:

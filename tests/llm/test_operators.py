@@ -114,6 +114,26 @@ def test_repeat_groups_have_all_occurrences(spark):
     assert {(0, 30), (1, 30), (2, 30)} in groups.values()
 
 
+@pytest.mark.parametrize("group", [4000, 2])
+def test_repeat_groups_are_all_maximal_repeats(spark, monkeypatch, group):
+    """Nested repeats, repeats longer than the contexts, inside one text, at text ends and in split groups."""
+    r = np.random.default_rng(8)
+    some = lambda n: "".join(chr(97 + x) for x in r.integers(0, 20, n))
+    base, short = some(420), some(130)
+    rows = [(1, some(20) + base[:150] + some(15)), (2, some(9) + base[:150] + some(30)), (3, some(12) + base[:120] + some(10)), (4, base), (5, some(7) + base),
+            (6, base[40:] + some(3)), (7, short + some(5) + short), (8, some(4) + short), (8, some(4) + short), (None, short), (9, "ab" * 80)]
+    monkeypatch.setattr(repeats, "GROUP", group)
+    places = defaultdict(set)
+    for i, t in set(rows):
+        for a in range(len(t)):
+            for b in range(a + 100, len(t) + 1):
+                places[t[a:b]].add((i, a, t[a - 1] if a else (i, a), t[b] if b < len(t) else (i, b)))
+    expected = Counter((i, a, len(x)) for x, own in places.items() if len(own) > 1 and len({p[2] for p in own}) > 1 and len({p[3] for p in own}) > 1 for i, a, _, _ in own)
+    got = repeats.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((x["doc_id"], x["first"], x["length"]) for x in got) == expected
+    assert {120, 150, 420} <= {x["length"] for x in got}
+
+
 def test_prefix_intervals():
     first, last, depth, around = repeats.prefix_intervals(np.array([3, 5, 5, 2, 0, 4]), 1)
     assert sorted(zip(first.tolist(), last.tolist(), depth.tolist(), around.tolist())) == [(0, 3, 3, 2), (0, 4, 2, 0), (1, 3, 5, 3), (5, 6, 4, -1)]
