@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from packlens.llm.decontaminate import decontaminate
+from packlens.llm.divergence import audit
 from packlens.llm.line_dedup import dedup_lines
 from packlens.llm.minhash import near_duplicates
 from packlens.llm.mixing import mixed
@@ -16,6 +18,8 @@ from packlens.llm.quality_rules import quality_verdicts
 from packlens.llm.repeats import remove_repeats
 from packlens.llm.secret_scan import secret_report
 from packlens.llm.toxicity import score_toxicity
+from packlens.llm.vector_topk import top_k
+from packlens.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,8 +67,20 @@ def op10_token_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_tokens(_table(spark, folder, "documents"))
 
 
+def op11_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return audit(_table(spark, folder, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(_table(spark, folder, "embeddings"))
+
+
 QUERIES = (op1_toxicity, op2_quality_classifier, op3_secret_scans, op4_repeated_strings, op5_quality_rules, op6_line_dedup,
-           op7_near_duplicates, op8_source_mixing, op9_decontamination, op10_token_packing)
+           op7_near_duplicates, op8_source_mixing, op9_decontamination, op10_token_packing, op11_vector_search, op12_source_divergence, op13_embedding_whitening)
 
 
 def all_queries() -> dict:
