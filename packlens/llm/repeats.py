@@ -56,6 +56,13 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _hashes_at(text: bytes, places: np.ndarray) -> np.ndarray:
+    """``_gram_hashes`` at some places only."""
+    data = np.frombuffer(text, np.uint8)
+    grams = np.lib.stride_tricks.sliding_window_view(data, GRAM)[places].ravel()
+    return _gram_hashes(grams)[::GRAM].view(np.int64)
+
+
 def _least(key: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` neighbours, by minima from both ends of blocks."""
     n = len(key) - width + 1
@@ -175,27 +182,23 @@ def equal_windows(group: np.ndarray, left: np.ndarray, right: np.ndarray, near:
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of the wanted anchors of each text."""
+    """Contexts of the wanted anchors of each text; their window bounds come with them, so anchors are not sought again."""
     for part in parts(batches):
-        texts = as_bytes(part.column("text"))
-        wanted = part.column("wanted").to_pylist()
         ids, nodes = part.column("d").to_numpy(zero_copy_only=False), part.column("node").to_numpy(zero_copy_only=False)
-        text, place, hashes, first, last = anchors(texts)
-        edges = np.searchsorted(text, np.arange(len(texts) + 1))
-        for i, own in enumerate(texts):
-            mine = slice(edges[i], edges[i + 1])
-            parts_of = {w["a"]: w["parts"] for w in wanted[i]}
-            keep = [(p, h, a, b, parts_of[p]) for p, h, a, b in zip(*(x[mine].tolist() for x in (place, hashes, first, last))) if p in parts_of]
-            if not keep:
-                continue
-            p, h, a, b, n = zip(*keep)
-            lefts = [own[max(0, x - PLACES):x][::-1] for x in p]
-            rights = [own[x:x + LENGTH] for x in p]
-            part_of = (np.array(h) * 31 + int(nodes[i]) % 1_000_003 + int(ids[i]) % 999_983) % np.array(n)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(h, pa.int64()), pa.array(part_of.astype(np.int32)), pa.array(np.array(n) > 1), pa.array([ids[i]] * len(p), pa.int64()), pa.array([nodes[i]] * len(p), pa.int64()), pa.array(p, pa.int64()),
-                pa.array([x - y for x, y in zip(p, b)], pa.int32()), pa.array([x - y for x, y in zip(p, a)], pa.int32()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary()),
-            ], names=["h", "part", "split", "d", "node", "a", "near", "far", "left", "right"])
+        wanted = part.column("wanted")
+        for i, own in enumerate(as_bytes(part.column("text"))):
+            places = wanted[i].values
+            for at in range(0, len(places), 50_000):
+                some = places.slice(at, 50_000)
+                p, n = some.field("a").to_numpy(), some.field("parts").to_numpy()
+                h = _hashes_at(own, p)
+                lefts = [own[max(0, x - PLACES):x][::-1] for x in p.tolist()]
+                rights = [own[x:x + LENGTH] for x in p.tolist()]
+                part_of = (h * 31 + int(nodes[i]) % 1_000_003 + int(ids[i]) % 999_983 + p) % n
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(h, pa.int64()), pa.array(part_of.astype(np.int32)), pa.array(n > 1), pa.array(np.full(len(p), ids[i])), pa.array(np.full(len(p), nodes[i])), pa.array(p),
+                    some.field("near").cast(pa.int32()), some.field("far").cast(pa.int32()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary()),
+                ], names=["h", "part", "split", "d", "node", "a", "near", "far", "left", "right"])
 
 
 _MEMBER = "h bigint, part int, split boolean, d bigint, node bigint, a bigint, near int, far int, left binary, right binary"
@@ -331,11 +334,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts(batches):
-        text, place, hashes, _, _ = anchors(as_bytes(part.column("text")))
+        text, place, hashes, first, last = anchors(as_bytes(part.column("text")))
+        near, far = (place - last).astype(np.int8), (place - first).astype(np.int8)
         ids, nodes = part.column("d").to_numpy(zero_copy_only=False), part.column("node").to_numpy(zero_copy_only=False)
         for at in range(0, len(text), 100_000):
             cut = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[cut]), pa.array(ids[text[cut]], pa.int64()), pa.array(nodes[text[cut]], pa.int64()), pa.array(place[cut], pa.int64())], names=["h", "d", "node", "a"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[cut]), pa.array(ids[text[cut]], pa.int64()), pa.array(nodes[text[cut]], pa.int64()), pa.array(place[cut], pa.int64()), pa.array(near[cut]), pa.array(far[cut])],
+                                             names=["h", "d", "node", "a", "near", "far"])
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -346,10 +351,10 @@ def _rows(docs: DataFrame) -> DataFrame:
 def _sorted_members(docs: DataFrame) -> DataFrame:
     """Contexts of all repeated anchors, dealt by (anchor hash, part) and sorted by position within."""
     rows = _rows(docs).select("d", "node", "text")
-    places = rows.mapInArrow(_anchor_rows, "h bigint, d bigint, node bigint, a bigint")
+    places = rows.mapInArrow(_anchor_rows, "h bigint, d bigint, node bigint, a bigint, near tinyint, far tinyint")
     repeated = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     repeated = written(repeated.select("h", F.ceil(F.col("n") / GROUP).cast("int").alias("parts")), "repeated")
-    wanted = places.join(repeated, "h").groupBy("d", "node").agg(F.collect_set(F.struct("a", "parts")).alias("wanted"))
+    wanted = places.join(repeated, "h").groupBy("d", "node").agg(F.collect_set(F.struct("a", "near", "far", "parts")).alias("wanted"))
     wanted = written(wanted, "places").select(F.col("d").alias("wd"), F.col("node").alias("wn"), "wanted")
     members = rows.join(wanted, (F.col("d") == F.col("wd")) & (F.col("node") == F.col("wn"))).select("d", "node", "text", "wanted").mapInArrow(_members, _MEMBER)
     return members.repartition("h", "part").sortWithinPartitions("h", "part", "d", "node", "a")
