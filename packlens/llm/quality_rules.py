@@ -17,8 +17,6 @@ count are not touched, since counts travel in one struct column ``rule_counts``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -87,19 +85,14 @@ def _counts(text: bytes) -> tuple[int, ...]:
 _CONTINUED = bytes(range(0x80, 0xC0))
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """The rows with their counts in one struct column ``rule_counts``; texts do not move."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "rule_counts"]
-    frame = docs.select(*kept, F.lit(None).cast(STRUCT).alias("rule_counts"))
-    at = frame.columns.index("rule_counts")
+def rule_counts(text: Column) -> Column:
+    """Counts of a text as one struct. Python takes the text only and returns the counts; the other columns stay in the JVM."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [_counts(t) for t in as_bytes(batch.column("text"))]
-            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.StructArray.from_arrays(columns, list(COUNTS)), *batch.columns[at + 1:]], names=batch.schema.names)
+    def run(column: pa.Array) -> pa.Array:
+        rows = [_counts(t) for t in as_bytes(column)]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))], list(COUNTS))
 
-    return frame.mapInArrow(run, frame.schema)
+    return F.arrow_udf(run, STRUCT)(text)
 
 
 def _ratio(name: str):
@@ -156,16 +149,21 @@ def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.select(*[counted[f"`{x}`"] for x in counted.columns], base_failed.alias("rule_failed"), (~base_failed & ~beyond).alias("rule_kept"))
 
 
+def _counted(docs: DataFrame, kept: Column) -> DataFrame:
+    """``kept`` of each row as column ``own``, its group and its counts, written once: limits and verdicts read the same table."""
+    group = [F.col(c).cast("string").alias(c) for c in ("lang", "source")]
+    return written(docs.select(kept.alias("own"), *group, rule_counts(F.col("text").cast("string")).alias("rule_counts")), "rule_counts")
+
+
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """Counts and verdict of each document."""
-    rows = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    counted = written(with_counts(rows).drop("text"), "rule_counts")
-    return judged(counted, thresholds(counted)).select("doc_id", "rule_counts.*", F.col("rule_failed").alias("base_failed"), F.col("rule_kept").alias("kept"))
+    counted = _counted(docs, F.col("doc_id"))
+    named = [F.col("rule_counts")[c].alias(c) for c in COUNTS]
+    found = judged(counted, thresholds(counted))
+    return found.select(F.col("own").alias("doc_id"), *named[:5], F.col("rule_failed").alias("base_failed"), F.col("rule_kept").alias("kept"), *named[5:])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Documents that pass; the texts are counted again where they lie instead of being shuffled to their verdicts."""
-    counted = with_counts(docs.select(*[F.col(f"`{c}`") for c in docs.columns]))
-    small = written(counted.select("lang", "source", "rule_counts"), "rule_counts")
-    kept = judged(counted, written(thresholds(small), "limits")).where("rule_kept")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that pass. Rows are written once with their counts, so that texts are counted once and meet no shuffle."""
+    counted = _counted(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    return judged(counted, written(thresholds(counted), "limits")).where("rule_kept").select("own.*")
