@@ -12,6 +12,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes that a Python worker is sent at once.
+BATCH = "8m"
 _CLEAN_UP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
 
 
@@ -23,15 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 @contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a job that ends in a written table go as soon as the table is there."""
-    before = {key: spark.conf.get(key, "false") for key in _CLEAN_UP}
-    for key in _CLEAN_UP:
-        spark.conf.set(key, "true")
+    """Shuffle files of a job that ends in a written table go as soon as the table is there; batches for Python are small."""
+    own = dict.fromkeys(_CLEAN_UP, "true") | {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH}
+    before = {key: spark.conf.get(key, None) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
         for key, value in before.items():
-            spark.conf.set(key, value)
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,7 +54,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def parts(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text; one very long text is a batch of its own."""
     for batch in batches:
         start = held = 0
