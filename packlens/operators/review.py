@@ -48,22 +48,27 @@ def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     )
 
 
-def apply_reviews(decls: DataFrame, actions: DataFrame) -> DataFrame:
-    """STA2: fold review actions into declarations; the machine value never changes.
+def valid_actions(actions: DataFrame) -> DataFrame:
+    """Review actions that count: known ones, and of corrections those with a value."""
+    return actions.where(F.col("action").isin("CONFIRMED", "REJECTED") | ((F.col("action") == "CORRECTED") & (F.length(F.coalesce("value", F.lit(""))) > 0)))
 
-    Actions: declaration_id, action (CONFIRMED, CORRECTED, REJECTED), value, reviewed_by, acted_at, action_id.
-    A correction needs a value. Every action overwrites status and reviewed value, so the last valid
-    action decides, except that the canonical value keeps the last correction.
-    """
-    valid = actions.where((F.col("action") != "CORRECTED") | (F.length(F.coalesce("value", F.lit(""))) > 0))
+
+def fold_actions(actions: DataFrame) -> DataFrame:
+    """The last action and the last correction of each declaration: ``declaration_id, last, fix``; two such folds merge by maximum."""
     when = F.struct("acted_at", "action_id")
-    last = valid.groupBy("declaration_id").agg(
+    return valid_actions(actions).groupBy("declaration_id").agg(
         F.max(F.struct(when.alias("t"), "action", "value", "reviewed_by")).alias("last"),
         F.max(F.when(F.col("action") == "CORRECTED", F.struct(when.alias("t"), "value"))).alias("fix"))
+
+
+def apply_folds(decls: DataFrame, folds: DataFrame) -> DataFrame:
+    """Declarations after their reviews. A correction sets canonical and normalised value; both outlive a later rejection or confirmation."""
     action = F.col("last.action")
     corrected = F.coalesce(F.col("fix.value"), F.col("canonical_value"))
+    more = [F.coalesce(F.col("fix.value"), F.col("normalized_value")).alias("normalized_value")] if "normalized_value" in decls.columns else []
+    at = F.coalesce(F.col("last.t.acted_at"), F.col("reviewed_at")) if "reviewed_at" in decls.columns else F.col("last.t.acted_at")
     return (
-        decls.join(last, "declaration_id", "left")
+        decls.join(folds, "declaration_id", "left")
         .select(
             "declaration_id", "scan_id", "declaration_type", "machine_value",
             F.when(action == "REJECTED", "REJECTED").when(action.isNotNull(), "CONFIRMED")
@@ -74,10 +79,21 @@ def apply_reviews(decls: DataFrame, actions: DataFrame) -> DataFrame:
             corrected.alias("canonical_value"),
             (F.col("reviewed") | action.isNotNull()).alias("reviewed"),
             F.coalesce(F.col("last.reviewed_by"), F.col("reviewed_by")).alias("reviewed_by"),
+            at.alias("reviewed_at"), *more,
         )
     )
 
 
+def apply_reviews(decls: DataFrame, actions: DataFrame) -> DataFrame:
+    """STA2: fold review actions into declarations; the machine value never changes.
+
+    Actions: declaration_id, action (CONFIRMED, CORRECTED, REJECTED), value, reviewed_by, acted_at, action_id.
+    A correction needs a value. Every action overwrites status and reviewed value, so the last valid
+    action decides, except that canonical and normalised value keep the last correction.
+    """
+    return apply_folds(decls, fold_actions(actions))
+
+
 # ------------------------------------------------------------------- status machine (STA3)
 STATUS_EVENTS = {  # event -> {status before: status after}; statuses not listed stay as they are
     "upload": {"CREATED": "IMAGES_UPLOADED"},

@@ -12,6 +12,7 @@ from packlens.functions.text import truncate_message
 from packlens.operators import analytics as A
 from packlens.operators import evaluate as EV
 from packlens.operators import review as RV
+from packlens.operators import rule_conditions as RC
 from packlens.operators import rules as RU
 from packlens.plans import sql_candidates as Q
 from packlens.plans.registry import query
@@ -275,15 +276,19 @@ def review_actions(spark, d) -> DataFrame:
 @query("sta2_review_fold", with_tables("declarations") + """,
 act AS (SELECT user_id * 10 + event_id % 3 AS declaration_id, CASE event_id % 4 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'REJECTED' ELSE 'CORRECTED' END AS action,
         CASE WHEN event_id % 4 = 2 THEN 'fix ' || CAST(event_id AS VARCHAR) END AS value, user_id, ts, event_id FROM events WHERE event_id % 4 <> 3),
-last AS (SELECT declaration_id, arg_max(action, event_id) AS action, arg_max(value, event_id) FILTER (action = 'CORRECTED') AS fix, arg_max(user_id, event_id) AS reviewed_by FROM act GROUP BY 1)
-SELECT d.declaration_id, d.machine_value, CASE WHEN l.action = 'REJECTED' THEN 'REJECTED' WHEN l.action IS NOT NULL THEN 'CONFIRMED' ELSE d.resolution_status END AS resolution_status,
+last AS (SELECT declaration_id, arg_max(action, event_id) AS action, arg_max(value, event_id) FILTER (action = 'CORRECTED') AS fix, arg_max(user_id, event_id) AS reviewed_by, arg_max(ts, event_id) AS reviewed_at FROM act GROUP BY 1)
+SELECT d.declaration_id, d.machine_value, coalesce(l.fix, CAST(d.amount AS VARCHAR)) AS normalized_value, l.reviewed_at, CASE WHEN l.action = 'REJECTED' THEN 'REJECTED' WHEN l.action IS NOT NULL THEN 'CONFIRMED' ELSE d.resolution_status END AS resolution_status,
   CASE l.action WHEN 'CONFIRMED' THEN d.machine_value WHEN 'CORRECTED' THEN l.fix END AS reviewed_value, coalesce(l.fix, d.machine_value) AS canonical_value, l.action IS NOT NULL AS reviewed, l.reviewed_by
 FROM declarations d LEFT JOIN last l USING (declaration_id)""")
 def sta2(spark, d):
-    decls = derived(spark, d, "declarations").select(
+    return RV.apply_reviews(unreviewed(spark, d), review_actions(spark, d)).drop("scan_id", "declaration_type")
+
+
+def unreviewed(spark, d) -> DataFrame:
+    """Declarations as the machine left them."""
+    return derived(spark, d, "declarations").select(
         "declaration_id", "scan_id", "declaration_type", "machine_value", "resolution_status", F.lit(None).cast("string").alias("reviewed_value"),
-        F.col("machine_value").alias("canonical_value"), F.lit(False).alias("reviewed"), F.lit(None).cast("bigint").alias("reviewed_by"))
-    return RV.apply_reviews(decls, review_actions(spark, d)).drop("scan_id", "declaration_type")
+        F.col("machine_value").alias("canonical_value"), F.col("amount").cast("string").alias("normalized_value"), F.lit(False).alias("reviewed"), F.lit(None).cast("bigint").alias("reviewed_by"))
 
 
 def status_events(spark, d) -> DataFrame:
@@ -365,6 +370,36 @@ def rul4(spark, d):
     return RU.check_conditions(derived(spark, d, "declarations"), checks).select("declaration_id", "satisfied")
 
 
+#: A rule row for each brand: JSON whose limits come from the brand's parts.
+_RULE_JSON = """'{"type": "' || CASE k % 4 WHEN 0 THEN 'conditional' WHEN 1 THEN 'value_range' ELSE 'syntax' END || '", "target": "' || CASE k % 3 WHEN 0 THEN 'MRP' WHEN 1 THEN 'NET_QUANTITY' ELSE 'CONSUMER_CARE_PHONE' END
+  || '", "conditions": [' || CASE k % 3 WHEN 0 THEN '{"field": "normalized_value.currency", "operator": "in", "value": ["INR", "EUR"]}, {"field": "normalized_value.amount", "operator": "lte", "value": ' || CAST(price % 900 AS STRING) || '}, {"field": "has_conflict", "value": false}'
+    WHEN 1 THEN '{"field": "normalized_value.unit", "operator": "neq", "value": "kg"}, {"field": "normalized_value.amount", "operator": "gte", "value": ' || CAST(k % 20 AS STRING) || '.5}, {"operator": "regex", "value": "^[0-9]+ ?[a-z]+"}'
+    ELSE '{"field": "image_id", "operator": "exists", "value": ' || CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END || '}, {"field": "raw_text", "operator": "gte", "value": "1' || CAST(k % 9 AS STRING) || '"}' END
+  || ']' || CASE k % 5 WHEN 0 THEN '' ELSE ', "min_confidence": 0.' || CAST(4 + k % 5 AS STRING) END || '}'"""
+
+
+@query("rul4_rules_from_json", with_tables("declarations") + f""",
+r AS (SELECT p_brand AS rule_code, {_RULE_JSON.replace('STRING', 'VARCHAR')} AS rule FROM (SELECT p_brand, CAST(substr(p_brand, 7) AS INT) AS k, max(CAST(trunc(p_retailprice) AS INT)) AS price FROM part GROUP BY p_brand) b),
+d AS (SELECT *, CASE WHEN raw_text LIKE 'MRP Rs.%' THEN 'INR' END AS currency, nullif(regexp_extract(raw_text, '[0-9] ?([a-z]+)$', 1), '') AS unit FROM declarations),
+c AS (SELECT rule_code, unnest(json_extract(rule, '$.conditions[*]')) AS c FROM r),
+t AS (SELECT rule_code, coalesce(c->>'$.field', 'raw_text') AS field, coalesce(c->>'$.operator', 'eq') AS op, c->'$.value' AS o FROM c),
+j AS (SELECT d.declaration_id, t.rule_code, op, o, CASE field WHEN 'normalized_value.currency' THEN currency WHEN 'normalized_value.amount' THEN CAST(amount AS VARCHAR) WHEN 'normalized_value.unit' THEN unit
+    WHEN 'image_id' THEN CAST(image_id AS VARCHAR) WHEN 'has_conflict' THEN CAST(has_conflict AS VARCHAR) ELSE raw_text END AS v
+  FROM d JOIN r ON r.rule->>'$.target' = d.declaration_type JOIN t ON t.rule_code = r.rule_code),
+m AS (SELECT declaration_id, rule_code, CAST(count(*) AS INT) AS n_conditions, CAST(count_if(coalesce(CASE op WHEN 'eq' THEN lower(v) = (o->>'$') WHEN 'neq' THEN v <> (o->>'$') WHEN 'in' THEN list_contains(o->>'$[*]', v) WHEN 'regex' THEN regexp_matches(v, o->>'$')
+    WHEN 'exists' THEN (v IS NOT NULL) = ((o->>'$') <> 'false') WHEN 'gte' THEN CASE WHEN json_type(o) = 'VARCHAR' THEN v >= (o->>'$') ELSE TRY_CAST(v AS DOUBLE) >= CAST(o->>'$' AS DOUBLE) END WHEN 'lte' THEN TRY_CAST(v AS DOUBLE) <= CAST(o->>'$' AS DOUBLE) END, FALSE)) AS INT) AS n_met
+  FROM j GROUP BY ALL)
+SELECT m.rule_code, d.scan_id, declaration_id, n_conditions, n_met, CASE WHEN resolution_status IN ('NEEDS_REVIEW', 'CONFLICT') THEN 'REVIEW' WHEN n_met < n_conditions AND r.rule->>'$.type' = 'conditional' THEN 'NOT_APPLICABLE' WHEN n_met < n_conditions THEN 'FAIL'
+  WHEN confidence < coalesce(CAST(r.rule->>'$.min_confidence' AS DOUBLE), 0.7) THEN 'REVIEW' ELSE 'PASS' END AS status
+FROM m JOIN d USING (declaration_id) JOIN r USING (rule_code)""")
+def rul4_rules(spark, d):
+    brands = read_table(spark, d, "part").groupBy("p_brand").agg(F.substring("p_brand", 7, 9).cast("int").alias("k"), F.max(F.col("p_retailprice").cast("int")).alias("price"))
+    rules = brands.select(F.col("p_brand").alias("rule_code"), F.expr(_RULE_JSON).alias("rule"))
+    text = F.col("raw_text")
+    value = F.struct(F.when(text.startswith("MRP Rs."), "INR").alias("currency"), F.col("amount"), F.nullif(F.regexp_extract(text, "[0-9] ?([a-z]+)$", 1), F.lit("")).alias("unit"))
+    return RC.evaluate_rules(derived(spark, d, "declarations").withColumn("normalized_value", value), rules)
+
+
 _VERSIONS = """
 SELECT 'RULE_' || o_orderpriority AS rule_code, CAST(year(o_orderdate) AS STRING) AS rule_version, min(o_orderdate) AS valid_from,
        CASE WHEN year(o_orderdate) % 3 = 0 THEN NULL ELSE max(o_orderdate) END AS valid_to, year(o_orderdate) <> 1997 AS is_active
