@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlens.operators.review import fold_buckets, upsert_declarations
-from packlens.plans.decisions import _UPSERT, fresh, status_events, stored
+from packlens.operators.review import apply_folds, fold_buckets, upsert_declarations
+from packlens.plans.decisions import _UPSERT, fresh, review_actions, status_events, stored, unreviewed
 from packlens.plans.registry import ORACLES, query
 from packlens.plans.sql_parts import with_tables
 from packlens.session import shared_folder
 from packlens.sources.tables import read_table
 from packlens.streaming import streams as ST
+from packlens.streaming.keyed_table import KeyedTable
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -61,15 +62,30 @@ def sta3_stream(spark, d):
 
 @query("sta1_upsert_stream", with_tables("declarations") + ", " + _UPSERT)
 def sta1_stream(spark, d):
-    """Fresh machine results arrive as a stream of files, one a micro-batch; the last merged version is the result.
+    """Fresh machine results arrive as a stream of files, one a micro-batch; the last committed version is the result.
 
     All results of a scan are in one file. The stored table starts as a run without fresh results leaves it.
     """
     folder = shared_folder(spark)
     new = fresh(spark, d)
-    upsert_declarations(stored(spark, d), new.limit(0)).write.parquet(f"{folder}/table/v=0")
+    table = KeyedTable(spark, f"{folder}/table", "scan_id", buckets=16)
+    table.create(upsert_declarations(stored(spark, d), new.limit(0)))
     new.repartition(8, "scan_id").write.parquet(f"{folder}/incoming")
     incoming = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/incoming")
-    ST.drain(incoming, ST.upsert_batches(f"{folder}/table"), f"{folder}/checkpoint")
-    versions = spark.read.parquet(f"{folder}/table")
-    return versions.where(F.col("v") == versions.agg(F.max("v")).first()[0]).drop("v")
+    ST.drain(incoming, ST.upsert_batches(table), f"{folder}/checkpoint")
+    return table.read(table.latest())
+
+
+@query("sta2_review_stream", ORACLES["sta2_review_fold"])
+def sta2_stream(spark, d):
+    """Review actions from files out of order, one a micro-batch: the same rows as the batch fold."""
+    folder = shared_folder(spark)
+    actions = review_actions(spark, d)
+    actions.repartition(5, F.hash("action_id")).write.parquet(f"{folder}/incoming")  # every file spans the whole log
+    table = KeyedTable(spark, f"{folder}/table", "declaration_id", buckets=16)
+    table.create(spark.createDataFrame([], ST.REVIEW_TABLE))
+    incoming = spark.readStream.schema(actions.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/incoming")
+    ST.drain(ST.review_states(incoming), ST.merge_reviews(table), f"{folder}/checkpoint", mode="update")
+    folds = table.read(table.latest()).withColumn("declaration_id", F.col("declaration_id").cast("long"))
+    found = apply_folds(unreviewed(spark, d), folds).drop("scan_id", "declaration_type")
+    return found.withColumn("reviewed_at", F.col("reviewed_at").cast("timestamp_ntz")).withColumn("reviewed_by", F.col("reviewed_by").cast("long"))

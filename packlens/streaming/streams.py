@@ -5,13 +5,16 @@ State stores, watermarks and exactly-once bookkeeping are Spark's; checkpoints l
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from packlens.operators.review import composed_in_order, event_tables, upsert_declarations
+from packlens.operators.review import composed_in_order, event_tables, upsert_declarations, valid_actions
 from packlens.session import shared_folder
+from packlens.streaming.keyed_table import KeyedTable
 
 
 def dedupe_images(images: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -40,30 +43,109 @@ def status_buckets(events: DataFrame, delay: str = "2 hours", width: str = "1 mi
     return closed.select("scan_id", F.col("w.start").alias("ts"), "t", "n")
 
 
-def upsert_batches(existing_path: str) -> Callable[[DataFrame, int], None]:
-    """STA1 as a ``foreachBatch`` sink: each batch writes the merged table as a new version folder.
+def upsert_batches(table: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """STA1 as a ``foreachBatch`` sink over a table keyed by scan_id; only the buckets of the batch's scans are written.
 
-    Versions are written beside each other and read back by batch id, so a repeated batch after a
-    failure starts from the same version and writes the same result.
+    A scan that the batch says nothing about stays as it is, also where it shares a bucket with one that is merged.
     """
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        current = spark.read.parquet(f"{existing_path}/v={batch_id}")
+    def merged(current: DataFrame, batch: DataFrame) -> DataFrame:
         touched = batch.select("scan_id").distinct()
-        merged = upsert_declarations(current.join(touched, "scan_id", "left_semi"), batch)
-        rest = current.join(touched, "scan_id", "left_anti")
-        rest.unionByName(merged.select(*rest.columns)).write.mode("overwrite").parquet(f"{existing_path}/v={batch_id + 1}")
+        fresh = upsert_declarations(current.join(touched, "scan_id", "left_semi"), batch)
+        return current.join(touched, "scan_id", "left_anti").unionByName(fresh.select(*current.columns))
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        table.merge(batch, batch_id, merged)
 
     return apply
 
 
-def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Run a finite stream through a batch sink until its input is used up."""
-    query = (
-        stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+_FOLD = ["declaration_id", "t", "action_id", "action", "value", "reviewed_by", "fixed", "fix_t", "fix_id", "fix_value"]
+_STATE = "t long, action_id long, action string, value string, reviewed_by string, fixed boolean, fix_t long, fix_id long, fix_value string"
+
+
+def _newest(rows: pd.DataFrame) -> pd.DataFrame:
+    """Last action and last correction of each declaration, one row each."""
+    last = rows.sort_values(["t", "action_id"]).groupby("declaration_id").tail(1).set_index("declaration_id")
+    fixes = rows[rows["fixed"]].sort_values(["fix_t", "fix_id"]).groupby("declaration_id").tail(1).set_index("declaration_id")
+    for c in ("fixed", "fix_t", "fix_id", "fix_value"):
+        last.loc[fixes.index, c] = fixes[c]
+    return last.reset_index()[_FOLD]
+
+
+def review_states(actions: DataFrame, idle_ms: int = 600_000) -> DataFrame:
+    """STA2 as a stream: the review state of each declaration that a micro-batch touches (update mode).
+
+    Actions may come in any order: what counts is event time, then action id. Each task first reduces its rows to one a
+    declaration, so a declaration with very many actions is no hot key. The state of a declaration is one row and leaves after ``idle_ms`` without
+    actions; later actions start a new state, and :func:`merge_reviews` sets that against what the table holds. So nothing is
+    lost to lateness, and the state holds only declarations under review.
+    """
+    fixed = F.col("action") == "CORRECTED"
+    t = F.unix_micros(F.col("acted_at").cast("timestamp"))
+    flat = valid_actions(actions).where("declaration_id IS NOT NULL AND acted_at IS NOT NULL AND action_id IS NOT NULL").select(
+        F.col("declaration_id").cast("string").alias("declaration_id"), t.alias("t"), F.col("action_id").cast("long").alias("action_id"), "action", "value",
+        F.col("reviewed_by").cast("string").alias("reviewed_by"), fixed.alias("fixed"), F.when(fixed, t).otherwise(0).alias("fix_t"),
+        F.when(fixed, F.col("action_id").cast("long")).otherwise(0).alias("fix_id"), F.when(fixed, F.col("value")).alias("fix_value"))
+
+    def reduced(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                yield _newest(part)
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = list(parts) + ([pd.DataFrame([(*key, *state.get)], columns=_FOLD)] if state.exists else [])
+        newest = rows[0]
+        for more in rows:
+            newest = _newest(pd.concat([newest, more]))
+        state.update(tuple(None if x is None or x != x else x.item() if hasattr(x, "item") else x for x in newest.iloc[0, 1:]))
+        state.setTimeoutDuration(idle_ms)
+        yield newest
+
+    schema = f"declaration_id string, {_STATE}"
+    return flat.mapInPandas(reduced, schema).groupBy("declaration_id").applyInPandasWithState(fold, schema, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+#: Columns of the table that :func:`merge_reviews` keeps: the fold of each declaration, as ``operators.review.fold_actions`` gives it.
+REVIEW_TABLE = ("declaration_id string, last struct<t:struct<acted_at:timestamp,action_id:bigint>,action:string,value:string,reviewed_by:string>, "
+                "fix struct<t:struct<acted_at:timestamp,action_id:bigint>,value:string>")
+
+
+def merge_reviews(table: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink for :func:`review_states`: the later of stored and new state stays, for action and correction each."""
+
+    def stamp(t: str, action_id: str):
+        return F.struct(F.timestamp_micros(t).alias("acted_at"), F.col(action_id).alias("action_id")).alias("t")
+
+    def merged(current: DataFrame, batch: DataFrame) -> DataFrame:
+        new = batch.select("declaration_id", F.struct(stamp("t", "action_id"), "action", "value", "reviewed_by").alias("last"),
+                           F.when(F.col("fixed"), F.struct(stamp("fix_t", "fix_id"), F.col("fix_value").alias("value"))).alias("fix"))
+        return current.unionByName(new).groupBy("declaration_id").agg(F.max("last").alias("last"), F.max("fix").alias("fix"))
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        table.merge(batch, batch_id, merged)
+
+    return apply
+
+
+def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Run a finite stream through a batch sink until its input is used up.
+
+    Timers by processing time would ask for batches without data for ever, so there are none of these here.
+    """
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        query = (
+            stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
+    finally:
+        conf.set(key, before)
     query.awaitTermination()
 
 

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from packlens.operators.analytics import context_savings
 from packlens.operators.conversation import context_counts, select_context
-from packlens.operators.review import fold_buckets, fold_status, upsert_declarations
+from packlens.operators.review import apply_folds, apply_reviews, fold_buckets, fold_status, upsert_declarations
 from packlens.operators.rules import rules_as_of
 from packlens.streaming import streams as ST
+from packlens.streaming.keyed_table import KeyedTable
 
 QUESTION = "question_id string, scan_id int, intent string, target_fields array<string>, panel_referenced string, requires_scan_data boolean"
 
@@ -51,16 +52,61 @@ def test_streamed_upsert_equals_batch(spark, tmp_path):
     existing = spark.createDataFrame([(1, "MRP", 1, "CONFIRMED", True, "r1", "m1"), (2, "MRP", 2, "NEEDS_REVIEW", False, None, "m2"), (3, "MRP", 3, "REJECTED", True, None, "m3")], old)
     new = "scan_id int, declaration_type string, resolution_status string, machine_value string, confidence double"
     fresh = spark.createDataFrame([(1, "MRP", "AUTO_RESOLVED", "n1", 0.9), (1, "NET_QUANTITY", "AUTO_RESOLVED", "q1", 0.8), (2, "NET_QUANTITY", "NOT_DETECTED", None, 0.0), (4, "MRP", "NEEDS_REVIEW", "n4", 0.5)], new)
-    folder = str(tmp_path)
-    upsert_declarations(existing, fresh.limit(0)).write.parquet(f"{folder}/table/v=0")
+    table = KeyedTable(spark, f"{tmp_path}/table", "scan_id", buckets=4)
+    table.create(upsert_declarations(existing, fresh.limit(0)))
     for scan in (4, 1, 2):
-        fresh.where(F.col("scan_id") == scan).coalesce(1).write.mode("append").parquet(f"{folder}/incoming")
-    stream = spark.readStream.schema(new).option("maxFilesPerTrigger", 1).parquet(f"{folder}/incoming")
-    ST.drain(stream, ST.upsert_batches(f"{folder}/table"), f"{folder}/checkpoint")
-    got, expected = spark.read.parquet(f"{folder}/table/v=3"), upsert_declarations(existing, fresh)
+        fresh.where(F.col("scan_id") == scan).coalesce(1).write.mode("append").parquet(f"{tmp_path}/incoming")
+    stream = spark.readStream.schema(new).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/incoming")
+    ST.drain(stream, ST.upsert_batches(table), f"{tmp_path}/checkpoint")
+    assert table.latest() == 3
+    got, expected = table.read(3), upsert_declarations(existing, fresh)
     assert sorted(map(str, got.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
 
 
+def test_merge_writes_touched_buckets_only_and_repeats(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path), "k", buckets=8)
+    table.create(spark.range(40).selectExpr("id k", "0 v"))
+    plus = lambda current, batch: current.unionByName(batch).groupBy("k").agg(F.sum("v").cast("int").alias("v"))
+    batch = spark.createDataFrame([(3, 5), (100, 7)], "k long, v int")
+    for _ in range(2):  # a batch that runs again gives the same version
+        touched = table.merge(batch, 0, plus)
+        assert len(touched) <= 2 and dict(table.read(1).where("v > 0").collect()) == {3: 5, 100: 7} and table.read(1).count() == 41
+    assert {p.name for p in (tmp_path / "v=1").iterdir() if p.name.startswith("bucket=")} == {f"bucket={b}" for b in touched}
+    assert table.read(0).count() == 40
+    for n in range(1, 4):
+        table.merge(spark.range(40).selectExpr("id k", "1 v"), n, plus)
+    assert not (tmp_path / "v=1").exists() and table.read(4).where("k = 3 AND v = 8").count() == 1  # unnamed folders are gone
+    table.merge(batch.limit(0), 4, plus)
+    assert table.latest() == 5 and table.read(5).count() == 41
+
+
+def test_streamed_reviews_equal_the_fold(spark, tmp_path):
+    """Files out of order, equal times, corrections without a value, unknown actions, many actions on one declaration."""
+    rows = [(i % 3, ("CONFIRMED", "CORRECTED", "REJECTED", "CORRECTED")[i % 4], (None, f"v{i}", "x", "")[i % 4], f"u{i}", 1_600_000_000 + (i * 37 % 50) // 2, i) for i in range(60)]
+    rows += [(7, "VIEWED", "x", "u", 1_600_000_000, 900), (None, "REJECTED", None, "u", 1_600_000_000, 901)]
+    schema = "declaration_id int, action string, value string, reviewed_by string, s long, action_id int"
+    actions = spark.createDataFrame(rows, schema).selectExpr("declaration_id", "action", "value", "reviewed_by", "timestamp_seconds(s) acted_at", "action_id")
+    for part in (2, 0, 3, 1):
+        actions.where(F.col("action_id") * 7 % 4 == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/incoming")
+    table = KeyedTable(spark, f"{tmp_path}/table", "declaration_id", buckets=2)
+    table.create(spark.createDataFrame([], ST.REVIEW_TABLE))
+    stream = spark.readStream.schema(actions.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/incoming")
+    ST.drain(ST.review_states(stream), ST.merge_reviews(table), f"{tmp_path}/checkpoint", mode="update")
+    decls = spark.createDataFrame([(i, 1, "MRP", "m", "AUTO_RESOLVED", None, "m", "n", False, None) for i in (0, 1, 2, 7)],
+                                  "declaration_id int, scan_id int, declaration_type string, machine_value string, resolution_status string, reviewed_value string, canonical_value string, normalized_value string, reviewed boolean, reviewed_by string")
+    folds = table.read(table.latest()).withColumn("declaration_id", F.col("declaration_id").cast("int"))
+    got, expected = apply_folds(decls, folds).collect(), apply_reviews(decls, actions).collect()
+    assert table.latest() == 4 and sorted(map(str, got)) == sorted(map(str, expected))
+    by_id = {r["declaration_id"]: r for r in expected}
+    assert not by_id[7]["reviewed"] and by_id[7]["reviewed_at"] is None
+    for i in (0, 1, 2):
+        mine = sorted((r[4], r[5], r) for r in rows if r[0] == i and (r[1] != "CORRECTED" or r[2]))
+        fix = [m[2][2] for m in mine if m[2][1] == "CORRECTED"][-1]
+        last = mine[-1][2]
+        assert by_id[i]["canonical_value"] == by_id[i]["normalized_value"] == fix and by_id[i]["reviewed_by"] == last[3] and by_id[i]["machine_value"] == "m"
+        assert by_id[i]["reviewed_value"] == {"CONFIRMED": "m", "REJECTED": None}.get(last[1], fix)
+
+
 def test_streamed_statuses_follow_event_time(spark, tmp_path):
     """Files out of order give the same status as the batch fold; minutes the watermark has not passed stay open."""
     rows = [(1, "upload", 0, 1), (1, "process", 70, 2), (1, "ocr_done", 75, 3), (1, "extract", 200, 4), (2, "upload", 10, 5), (2, "last_image_deleted", 20, 6), (3, "upload", 90_000, 7)]
