@@ -11,6 +11,7 @@ from packlens.functions import normalize as N
 from packlens.functions import scores as S
 from packlens.functions.text import found, title_case
 from packlens.operators import consolidate as C
+from packlens.operators import evidence as EVI
 from packlens.operators import extract as E
 from packlens.operators import layout as L
 from packlens.operators import proximity as P
@@ -128,7 +129,7 @@ def lay10(spark, d):
         "image_id", "y1", F.size("blocks").alias("n"), S.average_ocr_confidence(F.col("blocks")).alias("avg_confidence"))
 
 
-@query("lay11_evidence", spans_sql() + ", " + Q.C_MRP + """
+@query("lay11_evidence", spans_sql() + ", " + Q.C_MRP.replace("c_mrp AS (", "c_mrp AS MATERIALIZED (") + """
 SELECT c.image_id, c.block_ids, s.n_blocks AS contributing_blocks, s.x1, s.y1, s.x2, s.y2, round(s.ocr, 4) AS average_ocr_confidence
 FROM c_mrp c JOIN spans s USING (image_id, block_ids, stage)""")
 def lay11(spark, d):
@@ -137,6 +138,16 @@ def lay11(spark, d):
                        "x1", "y1", "x2", "y2", F.col("breakdown.ocr_confidence").alias("average_ocr_confidence"))
 
 
+@query("lay11_evidence_payload", spans_sql() + ", " + Q.C_MRP.replace("c_mrp AS (", "c_mrp AS MATERIALIZED (") + """,
+e AS (SELECT image_id, block_ids, unnest(string_split(block_ids, ',')) AS block_id, generate_subscripts(string_split(block_ids, ','), 1) - 1 AS position FROM c_mrp)
+SELECT e.image_id, image_type, block_ids, CAST(position AS INT) AS position, b.block_id, text, confidence, x1, y1, x2, y2, len(string_split(block_ids, ',')) AS n_blocks FROM e JOIN blocks b ON b.image_id = e.image_id AND CAST(b.block_id AS VARCHAR) = e.block_id""")
+def lay11_payload(spark, d):
+    blocks = label_blocks(spark, d)
+    found = EVI.evidence_payload(E.extract_candidates(blocks, ("mrp",)), blocks)
+    rows = found.select("image_id", "evidence.image_type", ids_text(F.col("block_ids")).alias("block_ids"), F.col("evidence.contributing_blocks_count").cast("long").alias("n_blocks"), F.posexplode("evidence.blocks").alias("position", "b"))
+    return rows.select("image_id", "image_type", "block_ids", "position", F.col("b.id").alias("block_id"), "b.text", "b.confidence", "b.bbox.*", "n_blocks")
+
+
 _RAW_OCR = """
 SELECT p_partkey AS image_id, p_partkey AS block_id, ' ' || p_name || ' ' AS text,
        CASE WHEN p_partkey % 7 = 0 THEN 'n/a' ELSE CAST((p_partkey % 120) / CAST(100 AS DOUBLE) AS STRING) END AS score,
@@ -160,11 +171,12 @@ def lay12(spark, d):
     return L.blocks_from_ocr(raw).select("image_id", "block_id", "text", "confidence", "x1", "y1", "x2", "y2")
 
 
-@query("jn5_neighborhood", _B + """
+@query("jn5_neighborhood", _B + f""",
+a AS MATERIALIZED (SELECT image_id, block_id, x1, y1, x2, y2 FROM blocks WHERE {has('text', V.DATE_ANCHORS['DATE_OF_PACKING'])} OR {has('text', V.BATCH)}),
+v AS MATERIALIZED (SELECT image_id, block_id, x1, y1, x2, y2 FROM blocks WHERE image_id IN (SELECT image_id FROM a))
 SELECT a.image_id, a.block_id AS anchor_id, v.block_id, greatest(v.x1 - a.x2, a.x1 - v.x2, 0) AS dx, greatest(v.y1 - a.y2, a.y1 - v.y2, 0) AS dy
-FROM blocks a JOIN blocks v ON a.image_id = v.image_id AND a.block_id <> v.block_id
- AND greatest(v.x1 - a.x2, a.x1 - v.x2, 0) <= 250 AND greatest(v.y1 - a.y2, a.y1 - v.y2, 0) <= 80
-WHERE """ + f"{has('a.text', V.DATE_ANCHORS['DATE_OF_PACKING'])} OR {has('a.text', V.BATCH)}")
+FROM a JOIN v ON a.image_id = v.image_id
+WHERE a.block_id <> v.block_id AND greatest(v.x1 - a.x2, a.x1 - v.x2, 0) <= 250 AND greatest(v.y1 - a.y2, a.y1 - v.y2, 0) <= 80""")
 def jn5(spark, d):
     blocks = label_blocks(spark, d)
     text = F.col("text")
@@ -266,7 +278,7 @@ def ext8(spark, d):
     return c.select(*_KEY, "normalized.date", "normalized.relative_duration", F.col("spatial_relation").isNotNull().alias("nearby"))
 
 
-@query("jn7_nearest_value", Q.from_family("dates", f"SELECT {_KEYS} FROM c_dates WHERE nearby"))
+@query("jn7_nearest_value", Q.from_family("dates", f"SELECT {_KEYS} FROM c_dates WHERE nearby").replace("c_dates AS (", "c_dates AS MATERIALIZED ("))
 def jn7(spark, d):
     return _candidates(spark, d, "dates").where("spatial_relation = 'nearby_block'").select(*_KEY)
 
