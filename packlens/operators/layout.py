@@ -251,14 +251,25 @@ def cluster_lines(blocks: DataFrame, px: int = STRIP_PX, near: Column | None = N
     )
 
 
-def image_lines(lines: DataFrame) -> DataFrame:
+def lines_of_images(blocks: DataFrame, px: int = STRIP_PX) -> DataFrame:
+    """LAY3, LAY4: the lines of :func:`cluster_lines` numbered over whole images.
+
+    Only images that reach ``px`` can have several strips, so the rows that carry numbers from strip to strip are made from these
+    images' blocks alone; where there are none (a Parquet range filter tells), the layout runs once.
+    """
+    tall = blocks.where(F.col("y2") >= px - 1).select("image_id").distinct()
+    return image_lines(cluster_lines(blocks, px), cluster_lines(blocks.join(tall, "image_id", "left_semi"), px))
+
+
+def image_lines(lines: DataFrame, cut: DataFrame | None = None) -> DataFrame:
     """Lines numbered over the whole image, with ``up``, the box and height of the line above (null for the first).
 
     Strips only deal work out: every strip starts at the number of lines above it, and its first line looks at the last
-    line of the strip above. Both come from one small row per strip; images of one strip meet none of them.
+    line of the strip above. Both come from one small row per strip, taken from ``cut``: the same lines, where only
+    images of several strips are needed (all of ``lines`` if not given).
     """
     item = F.struct("y1", "y2", "height")
-    strips = lines.groupBy("image_id", "strip").agg(F.count("*").alias("__n"), F.max(F.struct("line_no", item.alias("last")))["last"].alias("__last"))
+    strips = (lines if cut is None else cut).groupBy("image_id", "strip").agg(F.count("*").alias("__n"), F.max(F.struct("line_no", item.alias("last")))["last"].alias("__last"))
     down = W.partitionBy("image_id").orderBy("strip")
     above = strips.select("image_id", "strip", F.sum("__n").over(down.rowsBetween(W.unboundedPreceding, -1)).alias("__offset"), F.lag("__last").over(down).alias("__tail")).where("__offset > 0")
     up = F.lag(item).over(W.partitionBy("image_id", "strip").orderBy("line_no"))

@@ -63,7 +63,7 @@ def lay2(spark, d):
 @query("lay3_cluster_lines", _B + ", " + LINES + """
 SELECT image_id, line_no, line_text AS text, array_to_string(ids, ',') AS block_ids, y1, y2 FROM chained""")
 def lay3(spark, d):
-    return L.image_lines(L.cluster_lines(label_blocks(spark, d))).select(
+    return L.lines_of_images(label_blocks(spark, d)).select(
         "image_id", "line_no", "text", ids_text(F.transform("blocks", lambda b: b["block_id"])).alias("block_ids"), "y1", "y2")
 
 
@@ -72,11 +72,11 @@ SELECT image_id, line_no, round(height, 4) AS height, y1 - lag(y2) OVER w AS gap
        coalesce(y1 - lag(y2) OVER w <= (height + lag(height) OVER w) / 2 * 1.8, FALSE) AS follows
 FROM lines WINDOW w AS (PARTITION BY image_id ORDER BY line_no)""")
 def lay4(spark, d):
-    return line_gaps(L.cluster_lines(label_blocks(spark, d)))
+    return line_gaps(L.lines_of_images(label_blocks(spark, d)))
 
 
 def line_gaps(lines: DataFrame) -> DataFrame:
-    return L.image_lines(lines).select(
+    return lines.select(
         "image_id", "line_no", F.round("height", 4).alias("height"), (F.col("y1") - F.col("up.y2")).alias("gap_above"),
         F.coalesce(L.proximate(F.col("up"), F.struct("y1", "y2", "height")), F.lit(False)).alias("follows"))
 
@@ -89,7 +89,7 @@ SELECT doc_id AS image_id, line_no, CAST(16 AS DOUBLE) AS height, 20 * (pos - la
        coalesce(20 * (pos - lag(pos) OVER w) - 16 <= 28.8, FALSE) AS follows FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""")
 def lay4_documents(spark, d):
     # strips of 16 lines, so that most documents have several
-    return line_gaps(L.cluster_lines(doc_blocks(spark, d), px=320))
+    return line_gaps(L.lines_of_images(doc_blocks(spark, d), px=320))
 
 
 @query("lay5_single_spans", _B + """

@@ -9,7 +9,7 @@ from packlens.sources import corpus as C
 def table(name: str) -> str:
     """A derived corpus table as a CTE body."""
     sql = {"scans": C.SCANS, "products": C.PRODUCTS, "users": C.USERS, "images": C.IMAGES,
-           "declarations": C.DECLARATIONS, "utterances": C.UTTERANCES}[name]
+           "declarations": C.DECLARATIONS, "utterances": C.UTTERANCES, "messages": C.MESSAGES}[name]
     return f"{name} AS ({C.sql_tables(sql)})"
 
 

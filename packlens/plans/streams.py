@@ -50,14 +50,17 @@ def shuffled_files(df: DataFrame, files: int = 4) -> str:
     return folder
 
 
-@query("sta3_status_machine_stream", ORACLES["sta3_status_machine"].replace(
-    " FROM events)", " FROM events WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events))"))
+@query("sta3_status_machine_stream", ORACLES["sta3_status_machine"])
 def sta3_stream(spark, d):
-    """Events from files that overlap in time, one a micro-batch; minutes that end two hours before the last event are closed."""
+    """Events from files that overlap in time, one a micro-batch; minutes still open at the end count with what they hold."""
+    folder = shared_folder(spark)
     events = status_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = shuffled_files(events)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return fold_buckets(ST.run_to_table(spark, ST.status_buckets(stream)))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(shuffled_files(events))
+    buckets = ST.status_buckets(stream)
+    table = KeyedTable(spark, f"{folder}/table", "scan_id", buckets=16)
+    table.create(spark.createDataFrame([], buckets.schema))
+    ST.drain(buckets, ST.keep_buckets(table), f"{folder}/checkpoint", mode="update")
+    return fold_buckets(table.read(table.latest()))
 
 
 @query("sta1_upsert_stream", with_tables("declarations") + ", " + _UPSERT)

@@ -10,8 +10,8 @@ from packlens.operators import analytics as A
 from packlens.operators import conversation as CV
 from packlens.operators import quality as QL
 from packlens.plans.decisions import _FINDINGS, findings_of
-from packlens.plans.registry import query
-from packlens.plans.sql_parts import with_tables
+from packlens.plans.registry import ORACLES, query
+from packlens.plans.sql_parts import table, with_tables
 from packlens.plans.tables import _STATUS, _WARN
 from packlens.session import shared_folder
 from packlens.sources.corpus import derived
@@ -41,34 +41,38 @@ named AS (SELECT *, ['POLITENESS_OR_THANKS', 'GREETING_OR_CHITCHAT', 'SYSTEM_NAV
   CAST([0.98, 0.99, 0.95, 0.92, 0.94, 0.95, 0.9, 0.88, 0.75][step] AS DOUBLE) AS confidence FROM intents)"""
 
 
-def classified(spark: SparkSession, d: str) -> DataFrame:
-    return CV.classify_intents(derived(spark, d, "utterances"))
+#: The same over the given messages, whose words may have accents.
+_GIVEN = _INTENT.replace("FROM utterances", "FROM messages").replace("'\\w+'", "'[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'")
+
+
+def classified(spark: SparkSession, d: str, source: str = "utterances") -> DataFrame:
+    return CV.classify_intents(derived(spark, d, source))
 
 
 @query("nlp1_target_fields", with_tables("utterances") + ", " + _INTENT + " SELECT conv_id, turn, array_to_string(fields, ',') AS fields FROM tagged")
-def nlp1(spark, d):
-    rows = derived(spark, d, "utterances").withColumn("low", F.lower("text"))
+def nlp1(spark, d, source="utterances"):
+    rows = derived(spark, d, source).withColumn("low", F.lower("text"))
     return rows.select("conv_id", "turn", F.array_join(CV.target_fields(F.col("low")), ",").alias("fields"))
 
 
 @query("nlp2_panel_reference", with_tables("utterances") + ", " + _INTENT + " SELECT conv_id, turn, panel FROM tagged")
-def nlp2(spark, d):
-    rows = derived(spark, d, "utterances").withColumn("low", F.lower("text"))
+def nlp2(spark, d, source="utterances"):
+    rows = derived(spark, d, source).withColumn("low", F.lower("text"))
     return rows.select("conv_id", "turn", CV.panel_ref(F.col("low")).alias("panel"))
 
 
 @query("nlp3_classify_intent", with_tables("utterances") + ", " + _INTENT + """
 SELECT conv_id, turn, intent, array_to_string(target_fields, ',') AS target_fields, panel_referenced, requires_scan_data, requires_legal_rules, confidence FROM named""")
-def nlp3(spark, d):
-    return classified(spark, d).select(
+def nlp3(spark, d, source="utterances"):
+    return classified(spark, d, source).select(
         "conv_id", "turn", "intent", F.array_join("target_fields", ",").alias("target_fields"), "panel_referenced",
         "requires_scan_data", "requires_legal_rules", "confidence")
 
 
 @query("nlp4_rewrite_query", with_tables("utterances") + ", " + _INTENT + f"""
 SELECT conv_id, turn, CASE WHEN step IN (6, 8) AND has_product THEN regexp_replace(trim(text, E' \\n\\t\\r'), '(?i){V.PRONOUNS}', '''' || product_name || '''', 'g') ELSE trim(text, E' \\n\\t\\r') END AS rewritten_query FROM named""")
-def nlp4(spark, d):
-    return classified(spark, d).select("conv_id", "turn", "rewritten_query")
+def nlp4(spark, d, source="utterances"):
+    return classified(spark, d, source).select("conv_id", "turn", "rewritten_query")
 
 
 @query("win4_history_window", """
@@ -87,8 +91,8 @@ _MATCH = " OR ".join(
     for f, parts in V.FIELD_TYPE_PARTS.items())
 
 
-def questions(spark, d) -> DataFrame:
-    return classified(spark, d).where("role = 'user'").select(
+def questions(spark, d, source="utterances") -> DataFrame:
+    return classified(spark, d, source).where("role = 'user'").select(
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"), F.col("conv_id").alias("scan_id"), "intent", "target_fields",
         "panel_referenced", "requires_scan_data")
 
@@ -152,10 +156,10 @@ SELECT * FROM body"""
 
 
 @query("nlp5_select_context", with_tables("utterances", "scans", "products", "images", "declarations") + ", " + _INTENT + _QUESTIONS + ", " + _FINDINGS + ", " + _CTX)
-def nlp5(spark, d):
+def nlp5(spark, d, source="utterances"):
     quality = QL.classify(derived(spark, d, "images")).withColumn("seq", F.col("image_id")).withColumn("panel_type", F.col("image_type"))
     # both are read by several sections
-    asked, findings = staged(questions(spark, d), "questions"), staged(findings_of(spark, d), "findings")
+    asked, findings = staged(questions(spark, d, source), "questions"), staged(findings_of(spark, d), "findings")
     return CV.select_context(asked, scan_context(spark, d), quality, derived(spark, d, "declarations"), findings)
 
 
@@ -169,8 +173,8 @@ FROM questions q JOIN (SELECT scan_id, count(*) AS nq FROM images GROUP BY 1) i
 LEFT JOIN (SELECT scan_id, count(*) AS nd FROM declarations GROUP BY 1) d USING (scan_id)
 LEFT JOIN (SELECT scan_id, count(*) AS nf, count_if(status IN ('FAIL', 'REVIEW')) AS nv FROM findings GROUP BY 1) f USING (scan_id)
 LEFT JOIN (SELECT q.question_id, count(*) AS nm FROM questions q JOIN declarations d USING (scan_id) WHERE intent = 'SPECIFIC_DECLARATION_CHECK' AND ({_MATCH}) GROUP BY 1) m USING (question_id)""")
-def agg20(spark, d):
-    counts = CV.context_counts(staged(questions(spark, d), "questions"), derived(spark, d, "images"), derived(spark, d, "declarations"), findings_of(spark, d))
+def agg20(spark, d, source="utterances"):
+    counts = CV.context_counts(staged(questions(spark, d, source), "questions"), derived(spark, d, "images"), derived(spark, d, "declarations"), findings_of(spark, d))
     return counts.select("question_id", A.context_savings(F.col("intent"), F.col("n_decl"), F.col("n_quality"), F.col("n_findings"), F.col("n_matched"), F.col("n_violations")).alias("saved"))
 
 
@@ -179,3 +183,14 @@ SELECT scan_id, pos, '• Rule ' || rule_code || ' [' || status || ']: ' || mess
   SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY rule_code) AS pos FROM findings WHERE status IN ('FAIL', 'REVIEW')) q WHERE pos <= 5""")
 def flt8(spark, d):
     return CV.finding_lines(findings_of(spark, d))
+
+
+def _over_messages(name: str, fn) -> None:
+    """The query ``name`` over the messages as they were sent."""
+    sql = ORACLES[name].replace(_INTENT, _GIVEN).replace(table("utterances"), table("messages"))
+    query(f"{name}_given", sql)(lambda spark, d: fn(spark, d, "messages"))
+
+
+for _name, _fn in (("nlp1_target_fields", nlp1), ("nlp2_panel_reference", nlp2), ("nlp3_classify_intent", nlp3), ("nlp4_rewrite_query", nlp4), ("nlp5_select_context", nlp5),
+                   ("agg20_context_savings", agg20)):
+    _over_messages(_name, _fn)

@@ -147,6 +147,10 @@ SELECT conv_id, turn, role, CASE WHEN role <> 'user' THEN text ELSE CASE (conv_i
     CASE WHEN conv_id % 2 = 1 THEN 'Product ' || CAST(conv_id AS STRING) END AS product_name
 FROM {conversations}
 """
+#: The messages as they were sent.
+MESSAGES = """
+SELECT conv_id, turn, role, text, CASE WHEN conv_id % 2 = 1 THEN 'Product ' || CAST(conv_id AS STRING) END AS product_name FROM {conversations}
+"""
 _TABLES = ["part", "lineitem", "supplier", "conversations", "nation", "events", "documents", "labels", "customer", "orders"]
 
 
@@ -161,9 +165,9 @@ def part_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A corpus table by name: scans, products, users, images, declarations, utterances."""
+    """A corpus table by name: scans, products, users, images, declarations, utterances, messages."""
     sql = {"scans": SCANS, "products": PRODUCTS, "users": USERS, "images": IMAGES,
-           "declarations": DECLARATIONS, "utterances": UTTERANCES}[name]
+           "declarations": DECLARATIONS, "utterances": UTTERANCES, "messages": MESSAGES}[name]
     return run_sql(spark, folder, sql.replace("{facts}", PART_FACTS))
 
 

@@ -57,10 +57,14 @@ class KeyedTable:
 
     def merge(self, batch: DataFrame, batch_id: int, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> set[int]:
         """Replace the touched buckets by ``merged(their rows, batch)``; returns the touched buckets (``buckets`` at most)."""
-        touched = {r["bucket"] for r in self._dealt(batch).select("bucket").distinct().collect()}
-        homes, schema = self._manifest(batch_id)
-        current = self.read(batch_id, touched)
-        self._write(merged(current, batch).select(*current.columns), batch_id + 1)
+        batch = batch.persist()  # a stateful batch must run once, and it is read twice
+        try:
+            touched = {r["bucket"] for r in self._dealt(batch).select("bucket").distinct().collect()}
+            homes, schema = self._manifest(batch_id)
+            current = self.read(batch_id, touched)
+            self._write(merged(current, batch).select(*current.columns), batch_id + 1)
+        finally:
+            batch.unpersist()
         self._commit(homes | dict.fromkeys(touched, batch_id + 1), batch_id + 1, schema)
         self._remove_unnamed(batch_id + 1)
         return touched

@@ -33,9 +33,9 @@ def action_trend(events: DataFrame, ts: str = "ts", width: str = "1 hour", delay
 def status_buckets(events: DataFrame, delay: str = "2 hours", width: str = "1 minute") -> DataFrame:
     """STA3 as a stream of closed buckets (scan_id, ts, t, n): the events of a scan and minute as one transition table.
 
-    Events may come in any order within ``delay``; a bucket is emitted once, when the watermark has passed it, and
-    then leaves the state. Later events of a closed bucket are ignored. Compose the buckets with
-    :func:`packlens.operators.review.fold_buckets`.
+    Events may come in any order within ``delay``. In append mode a bucket is emitted once, when the watermark has passed it; in
+    update mode it is emitted whenever it changes, so open buckets are known as well (keep them with :func:`keep_buckets`). A closed
+    bucket leaves the state and later events of it are ignored. Compose the buckets with :func:`packlens.operators.review.fold_buckets`.
     """
     tables = event_tables(events).withWatermark("ts", delay)
     closed = tables.groupBy("scan_id", F.window("ts", width).alias("w")).agg(
@@ -43,6 +43,18 @@ def status_buckets(events: DataFrame, delay: str = "2 hours", width: str = "1 mi
     return closed.select("scan_id", F.col("w.start").alias("ts"), "t", "n")
 
 
+def keep_buckets(table: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink for :func:`status_buckets` in update mode: the newest form of each bucket, in a table keyed by scan_id."""
+
+    def merged(current: DataFrame, batch: DataFrame) -> DataFrame:
+        return current.join(batch.select("scan_id", "ts"), ["scan_id", "ts"], "left_anti").unionByName(batch)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        table.merge(batch, batch_id, merged)
+
+    return apply
+
+
 def upsert_batches(table: KeyedTable) -> Callable[[DataFrame, int], None]:
     """STA1 as a ``foreachBatch`` sink over a table keyed by scan_id; only the buckets of the batch's scans are written.
 

@@ -8,9 +8,7 @@ BLOCK = ("image_id string, image_type string, image_seq int, scan_id string, blo
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session("tests", cores=8, **{"spark.sql.shuffle.partitions": "4"})
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    session = build_session("tests", cores=8, **{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield session
     session.stop()
 

@@ -117,3 +117,16 @@ def test_streamed_statuses_follow_event_time(spark, tmp_path):
     got = fold_buckets(ST.run_to_table(spark, ST.status_buckets(stream))).collect()
     assert sorted(got) == sorted(fold_status(df.where("scan_id < 3")).collect())
     assert {r["scan_id"]: r["status"] for r in got} == {1: "DECLARATIONS_EXTRACTED", 2: "CREATED"}
+
+
+def test_streamed_statuses_with_open_minutes(spark, tmp_path):
+    """Update mode: minutes that the watermark has not passed count as well, and a minute seen in two files is kept once."""
+    rows = [(1, "upload", 0, 1), (1, "process", 70, 2), (1, "ocr_done", 75, 3), (1, "extract", 200, 4), (2, "upload", 10, 5), (2, "last_image_deleted", 20, 6), (3, "upload", 90_000, 7), (3, "process", 90_001, 8)]
+    df = spark.createDataFrame(rows, "scan_id int, event string, s long, seq long").selectExpr("scan_id", "event", "timestamp_seconds(1600000000 + s) ts", "seq")
+    for seq in ((3, 6), (1, 4), (5, 2, 8), (7,)):
+        df.where(F.col("seq").isin(*seq)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/incoming")
+    buckets = ST.status_buckets(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/incoming"), delay="2 days")
+    table = KeyedTable(spark, f"{tmp_path}/table", "scan_id", buckets=2)
+    table.create(spark.createDataFrame([], buckets.schema))
+    ST.drain(buckets, ST.keep_buckets(table), f"{tmp_path}/checkpoint", mode="update")
+    assert sorted(fold_buckets(table.read(table.latest())).collect()) == sorted(fold_status(df).collect())

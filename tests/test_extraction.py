@@ -6,6 +6,7 @@ from packlens.operators import consolidate as C
 from packlens.operators import extract as E
 from packlens.operators import layout as L
 
+# FIXED VALUES: label texts of the golden cases, as the contract gives them (FULL_PANEL, PACKS).
 FULL_PANEL = [
     ("b1", "BRITANNIA GOOD DAY BUTTER COOKIES", 0.98, 10, 20, 300, 50), ("b2", "GENERIC NAME: BISCUITS", 0.95, 10, 60, 200, 80),
     ("b3", "NET WEIGHT 827 g", 0.96, 10, 90, 180, 110), ("b4", "10 N x 82.7 g = 827 g", 0.94, 10, 120, 240, 140),
