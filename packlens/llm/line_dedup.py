@@ -1,17 +1,19 @@
 """Near-equal lines by a deletion-neighbourhood join; DataFrame expressions only.
 
 A line is its sequence of words. Lines of at least ``LEAST`` words are near-equal if one word substituted, inserted or
-deleted makes them equal; shorter lines must be equal. A line goes if an equal or near-equal line stands earlier (by
-doc_id, then line number), judged on the input.
+deleted makes them equal; lines of fewer words, and so those of scripts without spaces, if one character does, counted
+with one space between words, from ``LEAST_CHARACTERS`` on. Lines of the two kinds are never near-equal; lines below both
+bounds must be equal, as one edit there changes a list number or a name. A line goes if an equal or near-equal line
+stands earlier (by doc_id, then line number), judged on the input.
 
 1. Equal lines become one (hash of the words, earliest place); copies never meet in pairs.
 2. One edit leaves the first or the last half of the shorter line whole, so only lines that share the hash of a half
    with another line can have a partner; texts do not move for this.
-3. Those lines emit their variants with one word deleted as hashed keys: (rest, position, length) meets in
-   substitutions, the deleted rest meets the shorter line itself in insertions. Hashes are XORs over words and places, so all
-   variants of a line cost one running pass over its words, however long it is.
+3. Those lines emit their variants with one unit (word or character) deleted as hashed keys: (rest, position, length) meets
+   in substitutions, the deleted rest meets the shorter line itself in insertions. Hashes are XORs over units and places, so
+   all variants of a line cost one running pass over its units, however long it is.
 4. A key group keeps its earliest member by aggregation and each member is joined to that one only; pairs are checked on
-   the words (common beginning plus common end).
+   the units (common beginning plus common end).
 
 Defined results: lines end at \\n; lines without words always stay; null text has one empty line; null ids order first; rows that share id
 and text get equal results; rows that share an id with other texts are separate documents; other columns are
@@ -27,6 +29,8 @@ from packlens.llm.common import written
 
 #: Words from which a line may differ from an earlier one by one word.
 LEAST = 8
+#: Characters from which a line of fewer words may differ from an earlier one by one character.
+LEAST_CHARACTERS = 16
 _FIRST = -(2**63)
 _PLACE = ("d", "node", "line_no")
 
@@ -43,34 +47,53 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("d"), F.xxhash64(text).alias("node"), F.split(text, "\n").alias("lines"))
 
 
+def _halves(n: Column, first, last) -> Column:
+    """Hashes of the first and last units that a line of ``n`` units shares with a partner one edit away."""
+    half, other = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    keys = [F.xxhash64(F.lit(side), h, part(h)) for h in (half, other) for side, part in enumerate((first, last))]
+    return F.when(half == other, F.array(*keys[:2])).otherwise(F.array(*keys))
+
+
+def _n_words(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
 def _half_keys() -> Column:
-    """Hashes of the first and last words that a line shares with a partner one edit away."""
-    half, other = F.expr("cast(n div 2 as int)"), F.expr("cast((n - 1) div 2 as int)")
-    keys = [F.xxhash64(F.lit(side), h, F.call_function("substring_index", F.col("line"), F.lit(" "), h * side)) for h in (half, other) for side in (1, -1)]
-    return F.when(F.col("n") >= LEAST, F.when(half == other, F.array(*keys[:2])).otherwise(F.array(*keys)))
+    line, n = F.col("line"), F.col("n")
+    upto = lambda h: F.call_function("substring_index", line, F.lit(" "), h)
+    by_words = _halves(n, upto, lambda h: upto(-h))
+    by_characters = _halves(F.length(line), lambda h: F.left(line, h), lambda h: F.right(line, h))
+    return F.when(n >= LEAST, by_words).when(F.length(line) >= LEAST_CHARACTERS, by_characters)
+
+
+def _units(line: Column) -> Column:
+    """Words of a line that has ``LEAST`` of them, else its characters."""
+    return F.when(_n_words(line) >= LEAST, F.split(line, " ")).otherwise(F.split(line, ""))
 
 
 def distinct_lines(rows: DataFrame) -> DataFrame:
     """``f`` (line hash), earliest ``d, node, line_no`` and half keys of each distinct line with words."""
     lines = rows.select("d", "node", F.posexplode("lines").alias("line_no", "line")).select(*_PLACE, _normal(F.col("line")).alias("line")).where("line <> ''")
-    counted = lines.select(*_PLACE, "line", (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("n"))
+    counted = lines.select(*_PLACE, "line", _n_words(F.col("line")).alias("n"))
     hashed = counted.select(*_PLACE, F.xxhash64("line").alias("f"), _half_keys().alias("halves"))
     least = hashed.groupBy("f").agg(F.min(F.struct(*_PLACE)).alias("place"), F.first("halves").alias("halves"))
     return least.select("f", "place.*", "halves")
 
 
-def _with_words(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """``f, d, node, line_no, words`` of lines named by ``f`` and place; each document is read once for all its lines."""
+def _with_units(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """``f, d, node, line_no, by_words, units`` of lines named by ``f`` and place; each document is read once for all its lines."""
     wanted = places.groupBy(F.col("d").alias("wd"), F.col("node").alias("wn")).agg(F.collect_set(F.struct("line_no", "f")).alias("wanted"))
     found = rows.join(wanted, (F.col("d") == F.col("wd")) & (F.col("node") == F.col("wn")))
     picked = F.transform("wanted", lambda w: F.struct(w["f"].alias("f"), w["line_no"].alias("line_no"), F.get("lines", w["line_no"]).alias("line")))
-    return found.select("d", "node", F.inline(picked)).select("f", *_PLACE, F.split(_normal(F.col("line")), " ").alias("words")).dropDuplicates(["f", *_PLACE])
+    line = F.col("line")
+    lines = found.select("d", "node", F.inline(picked)).select("f", *_PLACE, _normal(line).alias("line"))
+    return lines.select("f", *_PLACE, (_n_words(line) >= LEAST).alias("by_words"), _units(line).alias("units")).dropDuplicates(["f", *_PLACE])
 
 
 def variant_keys(lines: DataFrame) -> DataFrame:
-    """``key, role, place`` rows: role 0 substitution, 1 the line itself, 2 the line without one word."""
-    words = lines.select("f", *_PLACE, F.posexplode("words").alias("i", "word"))
-    hashed = words.select("f", *_PLACE, "i", F.xxhash64("word", "i").alias("g"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
+    """``key, role, place`` rows: role 0 substitution, 1 the line itself, 2 the line without one unit."""
+    units = lines.select("f", *_PLACE, "by_words", F.posexplode("units").alias("i", "unit"))
+    hashed = units.select("f", *_PLACE, "i", F.xxhash64("by_words", "unit", "i").alias("g"), F.xxhash64("by_words", "unit", F.col("i") - 1).alias("moved"))
     line = Window.partitionBy(*_PLACE)
     upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = hashed.select("f", *_PLACE, "i", "g", F.count("*").over(line).alias("n"), F.bit_xor("g").over(line).alias("whole"), F.bit_xor("moved").over(line).alias("all_moved"),
@@ -92,7 +115,7 @@ def earlier_partners(keys: DataFrame) -> DataFrame:
 
 
 def within_one_edit(a: str, b: str) -> Column:
-    """Whether two word arrays are one substitution, insertion or deletion apart, or equal."""
+    """Whether two arrays of units are one substitution, insertion or deletion apart, or equal."""
     x, y = F.col(a), F.col(b)
 
     def common(p: Column, q: Column) -> Column:
@@ -100,7 +123,7 @@ def within_one_edit(a: str, b: str) -> Column:
         return F.when(unequal > 0, unequal - 1).otherwise(F.least(F.size(p), F.size(q)))
 
     longer = F.greatest(F.size(x), F.size(y))
-    return (common(x, y) + common(F.reverse(x), F.reverse(y)) >= longer - 1) & (F.least(F.size(x), F.size(y)) >= LEAST) & (F.abs(F.size(x) - F.size(y)) <= 1)
+    return (common(x, y) + common(F.reverse(x), F.reverse(y)) >= longer - 1) & (F.abs(F.size(x) - F.size(y)) <= 1)
 
 
 def near_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
@@ -109,10 +132,10 @@ def near_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     some = halves.join(shared, "half", "left_semi").select(F.col("f").alias("want")).distinct()
     places = lines.join(some, F.col("f") == F.col("want"), "left_semi").select("f", *_PLACE)
-    candidates = written(_with_words(rows, places), "candidate_lines")
+    candidates = written(_with_units(rows, places), "candidate_lines")
     pairs = written(earlier_partners(variant_keys(candidates)), "line_pairs")
-    mine = candidates.select("f", F.col("words").alias("x"))
-    other = candidates.select(F.col("f").alias("partner"), F.col("words").alias("y"))
+    mine = candidates.select("f", F.col("units").alias("x"))
+    other = candidates.select(F.col("f").alias("partner"), F.col("units").alias("y"))
     return pairs.join(mine, "f").join(other, "partner").where(within_one_edit("x", "y")).select("f", "partner")
 
 
@@ -125,8 +148,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     firsts = marked.groupBy(F.col("d").alias("fd"), F.col("node").alias("fn")).agg(
         F.collect_set(F.when(F.col("gone").isNull(), F.col("line_no"))).alias("stay"), F.count("gone").alias("n_near"))
     joined = rows.join(firsts, (F.col("d") == F.col("fd")) & (F.col("node") == F.col("fn")), "left")
-    stay = F.coalesce("stay", F.array().cast("array<int>"))
-    held = F.filter("lines", lambda line, i: (F.btrim(line, F.lit(" \t\r\x0b\x0c")) == "") | F.array_contains(stay, i))
+    blank = lambda line, i: F.when(F.btrim(line, F.lit(" \t\r\x0b\x0c")) == "", i)
+    stay = F.array_sort(F.concat(F.coalesce("stay", F.array().cast("array<int>")), F.array_compact(F.transform("lines", blank))))
+    held = F.transform(stay, lambda i: F.get("lines", i))
     out = joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce("n_near", F.lit(0)).alias("n_near"), held.alias("held"))
     text = F.array_join("held", "\n")
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("held") - F.col("n_near")).alias("n_equal"), "n_near", F.sha2(text, 256).alias("kept_sha256"), text.alias("kept"))

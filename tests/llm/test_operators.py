@@ -186,19 +186,22 @@ def test_sketches_set_the_limits(spark):
 
 def test_line_dedup(docs):
     rows = sorted({(i, t or "") for i, t in texts(docs)}, key=order)
-    full, sub, less, expected = set(), set(), set(), {}
+    equal, full, sub, less, expected = set(), set(), set(), set(), {}
     for i, t in rows:
         kept = []
         for line in t.split("\n"):
             w = tuple(re.findall(r"[^ \t\n\r\x0b\x0c]+", line))
-            if w in full:
+            if w in equal:
                 continue
-            cuts = [w[:k] + w[k + 1:] for k in range(len(w))] if 8 <= len(w) < 3000 else []
-            near = any((c, k) in sub for k, c in enumerate(cuts)) or (len(w) >= 8 and w in less) or (len(w) >= 9 and any(c in full for c in cuts))
+            u, least = (w, 8) if len(w) >= 8 else (" ".join(w), 16)  # words, else characters
+            cuts = [u[:k] + u[k + 1:] for k in range(len(u))] if least <= len(u) < 3000 else []
+            longer = cuts if len(u) > least else []
+            near = any((c, k) in sub for k, c in enumerate(cuts)) or (len(u) >= least and u in less) or any(c in full for c in longer)
             if w:
-                full.add(w)
+                equal.add(w)
+                full.add(u)
                 sub.update((c, k) for k, c in enumerate(cuts))
-                less.update(cuts if len(w) >= 9 else [])
+                less.update(longer)
             if not near:
                 kept.append(line)
         expected[i, len(t)] = "\n".join(kept)
@@ -211,6 +214,23 @@ def test_line_dedup(docs):
             assert r["kept"] == expected[r["doc_id"], len(sizes[r["doc_id"]])], r["doc_id"]
 
 
+def test_short_lines(spark):
+    """Lines of few words by one character: substituted, deleted, added, without spaces, and what must stay."""
+    lines = {
+        1: "Copyright 2019 by Example Co\nall rights reserved\n1.\nfile a", 2: "Copyright 2018 by Example Co\nall rights reservd\n2.\nfile b",
+        3: "all rights reserved.\n\nCopyright 2031 by Example Co", 4: "\u98df" * 20 + "\u54c1", 5: "\u98df" * 19 + "\u54c1\u54c1", 6: "\u98df" * 22 + "\u54c1",
+        7: "a b c d e f g hh", 8: "abcdefghijklmnop", 9: "a b c d e f ghh",
+    }
+    got = {r["doc_id"]: r["kept"] for r in line_dedup.dedup_lines(spark.createDataFrame(list(lines.items()), "doc_id long, text string")).collect()}
+    assert got == lines | {2: "2.\nfile b", 3: "\nCopyright 2031 by Example Co", 5: ""}
+
+
+def test_many_lines_in_one_document(spark):
+    rows = spark.sql("select 1L doc_id, array_join(transform(sequence(1, 200000), i -> concat('entry ', i % 150000, if(i % 7 = 0, '\\n', ''))), '\\n') text")
+    r = line_dedup.dedup_lines(rows).first()
+    assert r["n_lines"] == 200000 + 200000 // 7 and r["n_near"] == 0 and r["n_equal"] == 50000
+
+
 def near_labels(rows):
     """Class number of each (id, text) by comparing all pairs, and the least id of each class."""
     sets = []
