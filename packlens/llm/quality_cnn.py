@@ -3,8 +3,9 @@
 Bytes are embedded, learned filters of width 8 run over the whole text at stride 4, activations are max-pooled over
 overlapping chunks of 256 bytes (128 apart), each pooled chunk goes through a hidden layer, and mean and maximum over
 all chunks give one probability. Nothing is cut: a long text has more chunks. Training takes a bounded sample of
-labelled rows (``SAMPLE``, by hash of the id; of a text with more than ``TRAIN_CHUNKS`` chunks, chunks spread
-evenly over it); scoring covers every byte and runs map-only with fixed memory.
+labelled rows (least id hashes first, one row an id: at most ``SAMPLE`` rows and ``SAMPLE_BYTES`` bytes, of texts up to
+``LONGEST_BYTES``), each with all its chunks; gradients run over slabs of chunks. Scoring covers every byte and runs
+map-only with fixed memory.
 
 Defined results: a null or empty text is one chunk of zero bytes; null ids are scored and not held out; repeated rows
 are scored alike; an id with several labels takes the greatest; without labelled rows of both classes all
@@ -17,19 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packlens.llm.common import as_bytes, fold, parts
 from packlens.llm.toxicity import training_rows
 
-SAMPLE, TRAIN_CHUNKS = 4000, 24
+#: Bounds of the training sample: rows, bytes of all its texts, bytes of one text.
+SAMPLE, SAMPLE_BYTES, LONGEST_BYTES = 4000, 32 << 20, 4 << 20
 HELD_OUT_FOLDS, HELD_OUT = 3, 1
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN, HALF = 8, 8, 4, 40, 16, 128
 STEPS, BATCH, RATE = 700, 32, 0.004
 _PER_HALF = HALF // STRIDE
-#: Bytes convolved at once while scoring.
-SLAB = 1 << 18
+#: Bytes convolved at once while scoring, and chunks while training.
+SLAB, CHUNK_SLAB = 1 << 18, 1 << 10
 
 
 def _padded(text: bytes) -> np.ndarray:
@@ -80,10 +82,8 @@ class Network:
         return 1 / (1 + np.exp(-(np.concatenate([mean, top], axis=1) @ self.p["u"] + self.p["d"][0]).astype(np.float64)))
 
     def _chunks(self, text: bytes) -> np.ndarray:
-        data = _padded(text)
-        n = (len(data) - WIDTH + STRIDE) // HALF - 1
-        picked = np.arange(n) if n <= TRAIN_CHUNKS else np.linspace(0, n - 1, TRAIN_CHUNKS).astype(int)
-        return np.stack([data[i * HALF:(i + 2) * HALF + WIDTH - STRIDE] for i in picked])
+        """All chunks of a text, as a view of its bytes."""
+        return np.lib.stride_tricks.sliding_window_view(_padded(text), 2 * HALF + WIDTH - STRIDE)[::HALF]
 
     def fit(self, texts: list[bytes], y: np.ndarray, seed: int = 7) -> Network:
         r = np.random.default_rng(seed)
@@ -106,10 +106,14 @@ class Network:
 
     def _gradients(self, data: np.ndarray, counts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
-        window = np.lib.stride_tricks.sliding_window_view(data, WIDTH, axis=1)[:, ::STRIDE]
-        x = (p["e"][window].reshape(-1, WIDTH * EMBED) @ p["w"]).reshape(len(data), -1, FILTERS)
-        where = x.argmax(axis=1)
-        pooled = np.take_along_axis(x, where[:, None], axis=1)[:, 0] + p["b"]
+        slabs = [slice(at, at + CHUNK_SLAB) for at in range(0, len(data), CHUNK_SLAB)]
+        pooled, taken = np.empty((len(data), FILTERS), np.float32), np.empty((len(data), FILTERS, WIDTH), np.uint8)
+        for slab in slabs:
+            window = np.lib.stride_tricks.sliding_window_view(data[slab], WIDTH, axis=1)[:, ::STRIDE]
+            x = (p["e"][window].reshape(-1, WIDTH * EMBED) @ p["w"]).reshape(len(window), -1, FILTERS)
+            where = x.argmax(axis=1)
+            pooled[slab] = np.take_along_axis(x, where[:, None], axis=1)[:, 0] + p["b"]
+            taken[slab] = window[np.arange(len(window))[:, None], where]
         a = np.maximum(pooled, 0)
         z = a @ p["v"] + p["c"]
         hidden = np.maximum(z, 0)
@@ -122,23 +126,27 @@ class Network:
         g_hidden = (g_both[:, :HIDDEN] / counts[:, None])[doc] + g_both[doc, HIDDEN:] * (hidden == top[doc]) * (top[doc] > 0)
         g_z = g_hidden * (z > 0)
         g_a = (g_z @ p["v"].T) * (pooled > 0)
-        taken = window[np.arange(len(data))[:, None], where]
-        g_w = np.einsum("cf,cfk->kf", g_a, p["e"][taken].reshape(len(data), FILTERS, -1), optimize=True)
-        g_e = np.zeros_like(p["e"])
-        back = (g_a[:, :, None] * p["w"].T[None]).reshape(-1, EMBED)
-        flat = taken.reshape(-1)
-        for k in range(EMBED):
-            g_e[:, k] = np.bincount(flat, weights=back[:, k], minlength=256)
+        g_w, g_e = np.zeros_like(p["w"]), np.zeros_like(p["e"])
+        for slab in slabs:
+            g_w += np.einsum("cf,cfk->kf", g_a[slab], p["e"][taken[slab]].reshape(-1, FILTERS, WIDTH * EMBED), optimize=True)
+            back = (g_a[slab][:, :, None] * p["w"].T[None]).reshape(-1, EMBED)
+            flat = taken[slab].reshape(-1)
+            for k in range(EMBED):
+                g_e[:, k] += np.bincount(flat, weights=back[:, k], minlength=256)
         return {"e": g_e, "w": g_w, "b": g_a.sum(axis=0), "v": a.T @ g_z, "c": g_z.sum(axis=0), "u": both.T @ g, "d": np.array([g.sum()])}
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """The rows, in order of their id hashes, that fit into the byte bounds; only sizes and ids meet in one task."""
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sizes = rows.select("doc_id", F.octet_length("text").cast("long").alias("n")).where(F.col("n") <= LONGEST_BYTES)
+    fits = sizes.select("doc_id", upto.alias("upto")).where(F.col("upto") <= SAMPLE_BYTES)
+    return rows.join(F.broadcast(fits), "doc_id", "left_semi")
+
+
 def fit(rows: DataFrame) -> Network | float:
-    """Network trained on the sample (bounded in rows; chunks of a row are bounded too)."""
-    most = (TRAIN_CHUNKS + 1) * 2 * HALF
-    spread = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_CHUNKS - 1)), lambda i: F.substring(F.col("t"), (i * (F.length("t") - 2 * HALF) / (TRAIN_CHUNKS - 1)).cast("int") + 1, F.lit(2 * HALF)))
-    sample = rows.select("y", F.encode("text", "UTF-8").alias("t"))
-    sample = sample.select("y", F.when(F.length("t") <= most, F.col("t")).otherwise(F.concat(*[F.get(spread, F.lit(i)) for i in range(TRAIN_CHUNKS)])).alias("t"))
-    got = sample.collect()
+    """Network trained on the sample ``doc_id, y, text`` of at most ``SAMPLE`` rows."""
+    got = sorted(_bounded(rows).select("doc_id", "y", F.encode("text", "UTF-8").alias("t")).collect())
     y = np.array([r["y"] > 0 for r in got], np.float32)
     if not len(y) or y.min() == y.max():
         return float(y[0]) if len(y) else 0.5

@@ -172,12 +172,16 @@ class Isotonic:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int) -> DataFrame:
-    """``doc_id, y, text`` of a bounded sample of labelled rows outside the held-out fold, least id hash first."""
+    """``doc_id, y, text`` of a bounded sample of labelled rows outside the held-out fold, least id hash first.
+
+    An id gives one row: of several texts under it, the least.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", folds) != held))
     known = known.groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     picked = known.orderBy(F.xxhash64("l_id"), "l_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return written(texts.join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("doc_id", "y", "text"), f"training_{label}")
+    joined = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("l_id"))
+    return written(joined.groupBy("doc_id", "y").agg(F.min("text").alias("text")), f"training_{label}")
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

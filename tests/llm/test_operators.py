@@ -417,6 +417,47 @@ def test_classifiers_on_held_out_rows(spark, odd, none, score, label, held):
     assert score(odd, some).count() == odd.count() and score(odd, labels.limit(0)).count() == odd.count() and score(none, labels).count() == 0
 
 
+def test_training_sample_is_bounded(spark, monkeypatch):
+    """A shared id gives one training row, whole rows are left out beyond the byte bound, labels of others don't count."""
+    docs = spark.range(60).selectExpr("if(id < 40, 7, id) as doc_id", "concat('text ', id, ' ', repeat('x', 100)) as text")
+    labels = spark.range(60).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    rows = toxicity.training_rows(docs, labels, "quality", 3, 1, 1000).collect()
+    expected = {i for i in [7, *range(40, 60)] if __import__("zlib").crc32(str(i).encode()) % 3 != 1}
+    assert sorted(r["doc_id"] for r in rows) == sorted(expected)
+    monkeypatch.setattr(quality_cnn, "SAMPLE_BYTES", 550)
+    assert quality_cnn._bounded(spark.createDataFrame(rows)).count() == 5
+
+
+def test_network_sees_every_chunk():
+    """Gradients over slabs equal those in one piece and finite differences; a long text trains with all its chunks."""
+    import numpy as np
+
+    network = quality_cnn.Network()
+    texts = [bytes(np.random.default_rng(k).integers(97, 123, 300 * (k + 1), dtype=np.uint8)) for k in range(40)]
+    chunks = [network._chunks(t) for t in texts]
+    assert [len(c) for c in chunks] == [max(2, -(-len(t) // 128)) - 1 for t in texts]
+    data, counts, y = np.concatenate(chunks), np.array([len(c) for c in chunks]), (np.arange(40) % 2).astype(np.float32)
+    whole = network._gradients(data, counts, y)
+    before, quality_cnn.CHUNK_SLAB = quality_cnn.CHUNK_SLAB, 37
+    try:
+        cut = network._gradients(data, counts, y)
+    finally:
+        quality_cnn.CHUNK_SLAB = before
+    assert all(np.allclose(whole[k], cut[k], atol=1e-5) for k in whole)
+
+    def loss():
+        p = np.clip(network.score(texts), 1e-9, 1 - 1e-9)
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    for name, at in (("u", 3), ("d", 0), ("c", 5)):
+        ends = []
+        for step in (1e-2, -2e-2):
+            network.p[name][at] += step
+            ends.append(loss())
+        network.p[name][at] += 1e-2
+        assert abs((ends[0] - ends[1]) / 2e-2 - whole[name][at]) < 2e-3
+
+
 def test_empty_tables(spark, none, sample):
     bench = spark.read.parquet(f"{sample}/benchmark.parquet")
     for rows in (secret_scan.secret_report(none), repeats.remove_repeats(none), quality_rules.quality_verdicts(none), line_dedup.dedup_lines(none), minhash.near_duplicates(none), mixing.mixed(none),
