@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from packlens.functions import fixed_values as V
 from packlens.functions.normalize import fill_missing
 from packlens.functions.text import blank_to_null
+from packlens.session import shared_folder
 
 
 # --------------------------------------------------------------------------- filters
@@ -202,6 +203,29 @@ def next_numbers(scans: DataFrame) -> DataFrame:
         "next_code", scan_code(F.col("year"), F.col("next_number")))
 
 
+def assign_codes(incoming: DataFrame, scans: DataFrame, order: list[str]) -> DataFrame:
+    """AGG12 in bulk: ``incoming`` (with ``year``) plus dense ``number`` and ``scan_code`` after each year's highest code.
+
+    Rows are numbered in ``order``, which must be unique, in two steps: ranges of rows count themselves, running sums over
+    the ranges give each one its first number. No task holds a whole year. The dealt ranges are written, so a lost
+    executor cannot deal them anew between the steps. Years without codes start at 1; rows without a year get no code.
+    """
+    spark = incoming.sparkSession
+    path = shared_folder(spark) + "/ranges"
+    incoming.repartitionByRange("year", *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    before = W.partitionBy("year").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = dealt.groupBy("year", "_range").agg(F.count("*").alias("n"))
+    taken = next_numbers(scans).select(F.col("year").alias("_year"), "next_number")
+    first = counts.join(taken, F.col("year") == F.col("_year"), "left").select(
+        "year", "_range", (F.coalesce("next_number", F.lit(1)) + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("_first"))
+    numbered = dealt.withColumn("_row", F.row_number().over(W.partitionBy("year", "_range").orderBy(*order)))
+    number = F.when(F.col("year").isNotNull(), F.col("_first") + F.col("_row") - 1)
+    named = first.withColumnsRenamed({"year": "_y", "_range": "_r"})
+    joined = numbered.join(named, F.col("year").eqNullSafe(F.col("_y")) & (F.col("_range") == F.col("_r")))
+    return joined.select(*incoming.columns, number.alias("number"), F.when(number.isNotNull(), scan_code(F.col("year"), number)).alias("scan_code"))
+
+
 def next_display_order(images: DataFrame) -> DataFrame:
     """AGG12: next free display order per scan."""
     return images.groupBy("scan_id").agg((F.coalesce(F.max("display_order"), F.lit(-1)) + 1).alias("next_order"))

@@ -378,6 +378,17 @@ def agg12(spark, d):
     return SC.next_numbers(derived(spark, d, "scans"))
 
 
+@query("agg12_assign_codes", with_tables("scans") + """
+, incoming AS (SELECT o_orderkey, o_orderdate, CAST(year(o_orderdate) AS INT) + 32 AS year FROM orders),
+taken AS (SELECT CAST(string_split(scan_code, '-')[2] AS INT) AS year, max(CAST(string_split(scan_code, '-')[3] AS BIGINT)) AS last FROM scans GROUP BY 1),
+numbered AS (SELECT o_orderkey, year, row_number() OVER (PARTITION BY year ORDER BY o_orderdate, o_orderkey) + coalesce(last, 0) AS number FROM incoming LEFT JOIN taken USING (year))
+SELECT o_orderkey, number, printf('SCAN-%d-%06d', year, CAST(number AS BIGINT)) AS scan_code FROM numbered""")
+def agg12_codes(spark, d):
+    """Every order as a new scan; its years overlap those of the given scans."""
+    incoming = read_table(spark, d, "orders").select("o_orderkey", "o_orderdate", (F.year("o_orderdate") + 32).alias("year"))
+    return SC.assign_codes(incoming, derived(spark, d, "scans"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "number", "scan_code")
+
+
 @query("agg12_next_display_order", with_tables("images") + "SELECT scan_id, max(display_order) + 1 AS next_order FROM images GROUP BY scan_id")
 def agg12_order(spark, d):
     return SC.next_display_order(derived(spark, d, "images"))

@@ -8,6 +8,7 @@ from packlens.operators import consolidate as C
 from packlens.operators import conversation as CV
 from packlens.operators import evaluate as EV
 from packlens.operators import rules as RU
+from packlens.operators import scans as SC
 from packlens.sources import tables as T
 
 CAND = (
@@ -89,3 +90,18 @@ def test_file_sources(spark, tmp_path):
     pairs = spark.createDataFrame([("a", "MRP 1O")], "stem string, hypothesis string").join(
         T.read_ground_truth(spark, str(tmp_path / "*.txt")), "stem", "left")
     assert EV.error_rates(pairs).select(F.col("cer")).first()["cer"] == 0.1667
+
+
+def test_bulk_codes_are_dense_and_unique(spark):
+    """One year holds nearly all rows; numbers go on after the highest code, in order, over many ranges."""
+    scans = spark.createDataFrame([("SCAN-2025-000007",), ("SCAN-2025-000003",), ("SCAN-2024-x",)], "scan_code string")
+    incoming = spark.range(5000).selectExpr("id", "case when id = 11 then null when id % 1000 = 5 then 2026 when id = 8 then 2024 else 2025 end as year", "id % 10 as at", "'n' as number_of")
+    rows = SC.assign_codes(incoming, scans, ["at", "id"]).collect()
+    assert len(rows) == 5000
+    by_year = {}
+    for r in sorted(rows, key=lambda r: (r["at"], r["id"])):
+        by_year.setdefault(r["year"], []).append(r)
+    for year, start in ((2025, 8), (2026, 1), (2024, 1)):
+        assert [r["number"] for r in by_year[year]] == list(range(start, start + len(by_year[year])))
+        assert by_year[year][0]["scan_code"] == f"SCAN-{year}-{start:06d}"
+    assert by_year[None][0]["scan_code"] is None and SC.assign_codes(incoming.limit(0), scans, ["at", "id"]).count() == 0
