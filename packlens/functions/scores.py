@@ -126,22 +126,19 @@ def cer(reference: Column, hypothesis: Column) -> Column:
 def wer(reference: Column, hypothesis: Column) -> Column:
     """AGG14: word error rate.
 
-    Every distinct word of the pair becomes one code point of the supplementary planes, so the
-    built-in character distance counts words; exact for up to 2^20 distinct words in a pair.
+    Words that both sides hold become code points of the supplementary planes, so the built-in character distance counts
+    words. Words of one side only equal nothing on the other, so one code point a side stands for all of them: the limit of 2^20
+    code points is on distinct shared words, however many others there are.
     """
     from packlens.functions.text import let
 
     def distance(pair: Column) -> Column:
-        vocabulary = F.array_distinct(F.concat(pair["ref"], pair["hyp"]))
-
-        def encode(side: Column, vocab: Column) -> Column:
-            return F.decode(
-                F.unhex(F.array_join(
-                    F.transform(side, lambda w: F.lpad(F.hex(F.array_position(vocab, w) + 0xFFFF), 8, "0")), "")),
-                "UTF-32")
+        def encode(side: Column, shared: Column, alone: int) -> Column:
+            code = lambda w: let(F.array_position(shared, w), lambda p: F.when(p > 0, p + 0xFFFF).otherwise(alone))
+            return F.decode(F.unhex(F.array_join(F.transform(side, lambda w: F.lpad(F.hex(code(w)), 8, "0")), "")), "UTF-32")
 
         return _rate(
-            let(vocabulary, lambda v: F.levenshtein(encode(pair["ref"], v), encode(pair["hyp"], v))),
+            let(F.array_intersect(pair["ref"], pair["hyp"]), lambda v: F.levenshtein(encode(pair["ref"], v, 1), encode(pair["hyp"], v, 2))),
             F.size(pair["ref"]), F.size(pair["hyp"]),
         )
 

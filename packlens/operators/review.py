@@ -9,23 +9,39 @@ from pyspark.sql import functions as F
 from packlens.functions import fixed_values as V
 
 KEY = ["scan_id", "declaration_type"]
+#: Snapshot columns of the best candidate, with what they become when a run finds no candidate for a reviewed declaration.
+SNAPSHOT = {"raw_text": "", "raw_value": "", "image_id": None, "bounding_box": None, "has_conflict": False, "conflict_details": None,
+            "source_block_id": None, "candidate_details": None, "confidence_breakdown": None, "confidence_level": "LOW"}
 
 
-def upsert_declarations(existing: DataFrame, resolved: DataFrame) -> DataFrame:
+def upsert_declarations(existing: DataFrame, resolved: DataFrame, extractor_version: str | None = None) -> DataFrame:
     """STA1, SNK2, JN13: merge fresh machine results into stored declarations.
 
     ``existing``: scan_id, declaration_type, declaration_id, resolution_status, reviewed, reviewed_value, machine_value.
     ``resolved``: scan_id, declaration_type, resolution_status, machine_value, confidence.
     Reviewed rows keep status and reviewed value while the machine snapshot refreshes; unreviewed rows
     are replaced; a type that is no longer detected leaves no unreviewed row behind.
+
+    Columns of ``SNAPSHOT`` that ``resolved`` has are refreshed with it. ``normalized_value`` of a reviewed row stays (of ``existing``, if
+    it has that column), a new row takes the machine value. ``resolution_reason`` of a reviewed row says that the review was preserved.
+    ``extractor_version`` stamps every row.
     """
     held = F.coalesce(F.col("reviewed"), F.lit(False)) | F.col("resolution_status").isin("CONFIRMED", "REJECTED")
+    snapshot = [c for c in SNAPSHOT if c in resolved.columns]
+    normal = F.col("normalized_value") if "normalized_value" in existing.columns else F.lit(None).cast("string")
     old = existing.where(held).select(
-        *KEY, F.col("declaration_id").alias("old_id"), F.col("resolution_status").alias("old_status"), "reviewed_value")
+        *KEY, F.col("declaration_id").alias("old_id"), F.col("resolution_status").alias("old_status"), "reviewed_value", normal.alias("old_normal"))
     new = resolved.select(
-        *KEY, F.col("resolution_status").alias("new_status"), "machine_value", "confidence")
-    kept = F.col("old_status").isNotNull()
-    found = F.col("new_status").isNotNull() & (F.col("new_status") != "NOT_DETECTED")
+        *KEY, F.col("resolution_status").alias("new_status"), "machine_value", "confidence", *snapshot, *[c for c in ("resolution_reason",) if c in resolved.columns])
+    kept, seen = F.col("old_status").isNotNull(), F.col("new_status").isNotNull()
+    found = seen & (F.col("new_status") != "NOT_DETECTED")
+    more = [F.when(seen, F.col(c)).otherwise(F.lit(SNAPSHOT[c])).alias(c) for c in snapshot]
+    if "resolution_reason" in resolved.columns:
+        more.append(F.when(kept, V.REVIEW_PRESERVED).otherwise(F.col("resolution_reason")).alias("resolution_reason"))
+    if "normalized_value" in existing.columns:
+        more.append(F.when(kept, F.col("old_normal")).when(found, F.col("machine_value")).alias("normalized_value"))
+    if extractor_version is not None:
+        more.append(F.lit(extractor_version).alias("extractor_version"))
     return (
         old.join(new, KEY, "full_outer").where(kept | found)
         .select(
@@ -35,7 +51,7 @@ def upsert_declarations(existing: DataFrame, resolved: DataFrame) -> DataFrame:
             F.when(kept, F.col("reviewed_value")).alias("reviewed_value"),
             F.coalesce(F.nullif(F.when(kept, F.col("reviewed_value")), F.lit("")), F.when(found, F.col("machine_value"))).alias("canonical_value"),
             F.coalesce(F.when(found, F.col("confidence")), F.lit(0.0)).alias("confidence"),
-            F.coalesce(kept, F.lit(False)).alias("reviewed"),
+            F.coalesce(kept, F.lit(False)).alias("reviewed"), *more,
         )
     )
 

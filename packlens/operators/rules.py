@@ -29,7 +29,8 @@ def evaluate_presence(scans: DataFrame, decls: DataFrame, version: str = V.RULE_
     """RUL2, RUL3, JN9: one finding per (scan, rule), also for rules without any declaration.
 
     ``scans``: scan_id. ``decls``: scan_id, declaration_type, raw_text, confidence, resolution_status,
-    source_block_id, seq. The rules fan out of each scan row by an explode of a literal array.
+    source_block_id, seq and, where it is kept, normalized_value; text and normalised value of the declaration behind a
+    finding are its snapshot (``detected_text``, ``detected_normalized``). The rules fan out of each scan row by an explode of a literal array.
     ``target_aliases`` maps further declaration types onto a rule target (off by default).
     """
     if target_aliases:
@@ -39,7 +40,8 @@ def evaluate_presence(scans: DataFrame, decls: DataFrame, version: str = V.RULE_
             F.try_element_at(mapped, F.col("declaration_type")), F.col("declaration_type")))
     targets = [r["target"] for r in V.RULES]
     best = best_per_rule(decls.where(F.col("declaration_type").isin(targets)))
-    row = F.struct("raw_text", "confidence", "source_block_id")
+    normal = F.col("normalized_value") if "normalized_value" in decls.columns else F.lit(None).cast("string")
+    row = F.struct("raw_text", "confidence", "source_block_id", normal.alias("normalized_value"))
     per_type = best.groupBy("scan_id", F.col("declaration_type").alias("target")).agg(
         F.max(F.when(F.col("is_resolved"), row)).alias("settled"),
         F.max(F.when(~F.col("is_resolved"), row)).alias("open"))
@@ -60,6 +62,7 @@ def evaluate_presence(scans: DataFrame, decls: DataFrame, version: str = V.RULE_
         .when(low, F.format_string("Declaration extracted with low confidence (%.2f). Human review required.", settled["confidence"]))
         .otherwise(F.concat(F.lit("Valid declaration detected: "), settled["raw_text"])).alias("message"),
         F.when(~missing, used["raw_text"]).alias("detected_text"),
+        F.when(~missing, used["normalized_value"]).alias("detected_normalized"),
         F.col("expected").alias("expected_requirement"),
         F.when(missing, 1.0).otherwise(used["confidence"]).alias("confidence"),
         F.when(~missing, used["source_block_id"]).alias("source_block_id"),

@@ -143,6 +143,19 @@ def image_dossier(images: DataFrame, metrics: DataFrame, blocks: DataFrame) -> D
     )
 
 
+def image_dossier_rows(images: DataFrame, metrics: DataFrame, blocks: DataFrame) -> DataFrame:
+    """JN4 in full: image, quality and its blocks, one row a block in ``block_order``; an image without blocks keeps one row.
+
+    ``metrics``: as :func:`packlens.operators.quality.classify` gives them.
+    """
+    quality = metrics.select("image_id", "quality_status", "blur_score", "glare_score", F.array_join("warnings", ",").alias("warnings"))
+    of_block = blocks.select("image_id", "block_id", "block_order", "text", "confidence", "x1", "y1", "x2", "y2")
+    return (
+        images.select("image_id", "scan_id", "image_type", "processing_status")
+        .join(quality, "image_id", "left").join(of_block, "image_id", "left")
+    )
+
+
 def decl_evidence(decls: DataFrame, bridge: DataFrame, blocks: DataFrame) -> DataFrame:
     """JN2: declaration, bridge, block."""
     return decls.select("declaration_id", "declaration_type").join(bridge, "declaration_id", "left").join(
@@ -161,6 +174,25 @@ def assistant_context(scans: DataFrame, products: DataFrame, metrics: DataFrame,
     )
 
 
+def assistant_context_rows(scans: DataFrame, products: DataFrame, metrics: DataFrame, decls: DataFrame) -> DataFrame:
+    """JN14 in full: per scan one row for each quality metric and each declaration, with the scan's header; one bare row if it has neither.
+
+    Both kinds of item are put into one shape and meet the scans in a single join, so no list per scan is built.
+    """
+    text = lambda c: c.cast("string")
+    shape = ["scan_id", "section", "item_id", "label", "raw_text", "confidence", "review_status", "blur_score", "glare_score", "warnings"]
+    nothing = lambda kind: F.lit(None).cast(kind)
+    quality = metrics.select(
+        "scan_id", F.lit("quality"), "image_id", "quality_status", nothing("string"), nothing("double"), nothing("string"),
+        "blur_score", "glare_score", F.array_join("warnings", ",")).toDF(*shape)
+    found = decls.select(
+        "scan_id", F.lit("declaration"), "declaration_id", "declaration_type", text(F.col("raw_text")), "confidence", "resolution_status",
+        nothing("double"), nothing("double"), nothing("string")).toDF(*shape)
+    header = scans.join(products.select("product_id", "name", "brand", "barcode"), "product_id", "left").select(
+        "scan_id", "scan_code", F.coalesce("name", "scan_code").alias("active_product"), "status", "brand", "barcode")
+    return header.join(quality.unionByName(found), "scan_id", "left")
+
+
 def reorder_check(submitted: DataFrame, stored: DataFrame) -> DataFrame:
     """SET3: does a submitted order name exactly the stored images? Both: scan_id, image_id.
 

@@ -257,6 +257,35 @@ def snk2(spark, d):
     return RV.upsert_declarations(once, fresh(spark, d)).drop("declaration_id")
 
 
+@query("snk2_full_snapshot", with_tables("declarations") + f""",
+old AS (SELECT scan_id, declaration_type, resolution_status, CASE WHEN resolution_status = 'CONFIRMED' THEN 'rev ' || machine_value END AS reviewed_value, CAST(amount AS VARCHAR) AS normalized_value
+        FROM declarations WHERE resolution_status IN ('CONFIRMED', 'REJECTED')),
+new AS (SELECT *, CASE WHEN scan_id % 6 = 0 THEN 'NOT_DETECTED' ELSE 'AUTO_RESOLVED' END AS new_status FROM (
+        SELECT * REPLACE (CASE WHEN scan_id % 5 = 0 THEN declaration_type || '_NAME' ELSE declaration_type END AS declaration_type, 'new ' || machine_value AS machine_value) FROM declarations WHERE (scan_id + seq) % 7 <> 0) q)
+SELECT coalesce(o.scan_id, n.scan_id) AS scan_id, coalesce(o.declaration_type, n.declaration_type) AS declaration_type, coalesce(o.resolution_status, n.new_status) AS resolution_status,
+  CASE WHEN f THEN n.machine_value END AS machine_value, o.reviewed_value, coalesce(o.reviewed_value, CASE WHEN f THEN n.machine_value END) AS canonical_value, CASE WHEN f THEN n.confidence ELSE 0 END AS confidence,
+  o.scan_id IS NOT NULL AS reviewed, coalesce(n.raw_text, '') AS raw_text, n.image_id, coalesce(n.has_conflict, FALSE) AS has_conflict, n.source_block_id,
+  CASE WHEN n.scan_id IS NULL THEN 'LOW' WHEN n.confidence >= 0.82 THEN 'HIGH' WHEN n.confidence >= 0.58 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level,
+  CASE WHEN o.scan_id IS NOT NULL THEN '{V.REVIEW_PRESERVED}' ELSE 'run 2' END AS resolution_reason,
+  CASE WHEN o.scan_id IS NOT NULL THEN o.normalized_value ELSE n.machine_value END AS normalized_value, '2' AS extractor_version
+FROM old o FULL JOIN (SELECT *, new_status <> 'NOT_DETECTED' AS f FROM new) n ON n.scan_id = o.scan_id AND n.declaration_type = o.declaration_type WHERE o.scan_id IS NOT NULL OR f""")
+def snk2_full(spark, d):
+    """A second machine run over reviewed and unreviewed rows, with everything a declaration holds of its best candidate."""
+    of_type = derived(spark, d, "declarations")
+    before = stored(spark, d).join(of_type.select("declaration_id", F.col("amount").cast("string").alias("normalized_value")), "declaration_id")
+    again = fresh_snapshots(spark, d)
+    return RV.upsert_declarations(before, again, "2").drop("declaration_id")
+
+
+def fresh_snapshots(spark, d) -> DataFrame:
+    """The second machine run of :func:`fresh`, with its snapshot columns."""
+    run = derived(spark, d, "declarations").where("(scan_id + seq) % 7 <> 0")
+    return run.select(
+        "scan_id", F.when(F.col("scan_id") % 5 == 0, F.concat("declaration_type", F.lit("_NAME"))).otherwise(F.col("declaration_type")).alias("declaration_type"),
+        F.when(F.col("scan_id") % 6 == 0, "NOT_DETECTED").otherwise("AUTO_RESOLVED").alias("resolution_status"), F.concat(F.lit("new "), "machine_value").alias("machine_value"),
+        "confidence", "raw_text", "image_id", "has_conflict", "source_block_id", S.level_of(F.col("confidence")).alias("confidence_level"), F.lit("run 2").alias("resolution_reason"))
+
+
 @query("jn13_existing_versus_new", with_tables("declarations") + ", " + _UPSERT.replace(
     "SELECT coalesce(o.scan_id", "SELECT resolution_status, reviewed, count(*) AS n FROM (SELECT coalesce(o.scan_id") + ") q GROUP BY ALL")
 def jn13(spark, d):
@@ -323,19 +352,19 @@ _RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(
         "rule_code", "name", "target", "min_confidence", "reason_pass", "reason_fail", "reason_review", "expected")) + ")" for r in V.RULES
 ) + ") r(rule_code, name, target, min_confidence, reason_pass, reason_fail, reason_review, expected))"
 _FINDINGS = _RULES + """,
-u AS (SELECT scan_id, declaration_type AS target, resolution_status IN ('AUTO_RESOLVED', 'CONFIRMED') AS ok, arg_max(raw_text, confidence) AS raw_text, max(confidence) AS confidence, arg_max(source_block_id, confidence) AS block
+u AS (SELECT scan_id, declaration_type AS target, resolution_status IN ('AUTO_RESOLVED', 'CONFIRMED') AS ok, arg_max(raw_text, confidence) AS raw_text, max(confidence) AS confidence, arg_max(source_block_id, confidence) AS block, CAST(arg_max(amount, confidence) AS VARCHAR) AS normal
       FROM declarations GROUP BY ALL),
 findings AS (SELECT s.scan_id, r.rule_code, CASE WHEN o.scan_id IS NOT NULL THEN 'REVIEW' WHEN k.scan_id IS NULL THEN 'FAIL' WHEN k.confidence < r.min_confidence THEN 'REVIEW' ELSE 'PASS' END AS status,
   CASE WHEN o.scan_id IS NOT NULL THEN 'MANUAL_REVIEW_TRIGGERED' WHEN k.scan_id IS NULL THEN reason_fail WHEN k.confidence < r.min_confidence THEN reason_review ELSE reason_pass END AS reason_code,
   CASE WHEN o.scan_id IS NOT NULL THEN 'Unresolved or insufficient evidence requires human review.' WHEN k.scan_id IS NULL THEN 'Missing required declaration: ' || name
        WHEN k.confidence < r.min_confidence THEN printf('Declaration extracted with low confidence (%.2f). Human review required.', k.confidence) ELSE 'Valid declaration detected: ' || k.raw_text END AS message,
-  coalesce(o.raw_text, k.raw_text) AS detected_text, expected AS expected_requirement, coalesce(o.confidence, k.confidence, 1.0) AS confidence, coalesce(o.block, k.block) AS source_block_id
+  coalesce(o.raw_text, k.raw_text) AS detected_text, expected AS expected_requirement, coalesce(o.confidence, k.confidence, 1.0) AS confidence, coalesce(o.block, k.block) AS source_block_id, CASE WHEN o.scan_id IS NOT NULL THEN o.normal ELSE k.normal END AS detected_normalized
 FROM (SELECT p_partkey AS scan_id FROM part) s CROSS JOIN rules r LEFT JOIN u o ON o.scan_id = s.scan_id AND o.target = r.target AND NOT o.ok LEFT JOIN u k ON k.scan_id = s.scan_id AND k.target = r.target AND k.ok)"""
 
 
 def findings_of(spark, d) -> DataFrame:
     scans = read_table(spark, d, "part").select(F.col("p_partkey").alias("scan_id"))
-    return RU.evaluate_presence(scans, derived(spark, d, "declarations"))
+    return RU.evaluate_presence(scans, derived(spark, d, "declarations").withColumn("normalized_value", F.col("amount").cast("string")))
 
 
 @query("rul2_presence_findings", with_tables("declarations") + ", " + _FINDINGS + " SELECT scan_id, rule_code, status, reason_code, confidence FROM findings")
@@ -343,9 +372,9 @@ def rul2(spark, d):
     return findings_of(spark, d).select("scan_id", "rule_code", "status", "reason_code", "confidence")
 
 
-@query("rul3_finding_snapshot", with_tables("declarations") + ", " + _FINDINGS + f" SELECT scan_id, rule_code, '{V.RULE_SET_VERSION}' AS rule_version, message, detected_text, expected_requirement, source_block_id FROM findings")
+@query("rul3_finding_snapshot", with_tables("declarations") + ", " + _FINDINGS + f" SELECT scan_id, rule_code, '{V.RULE_SET_VERSION}' AS rule_version, message, detected_text, detected_normalized, expected_requirement, source_block_id FROM findings")
 def rul3(spark, d):
-    return findings_of(spark, d).select("scan_id", "rule_code", "rule_version", "message", "detected_text", "expected_requirement", "source_block_id")
+    return findings_of(spark, d).select("scan_id", "rule_code", "rule_version", "message", "detected_text", "detected_normalized", "expected_requirement", "source_block_id")
 
 
 @query("jn9_rules_times_scans", with_tables("declarations") + ", " + _FINDINGS + " SELECT rule_code, status, count(*) AS n FROM findings GROUP BY ALL")

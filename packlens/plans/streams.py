@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,28 +17,57 @@ from packlens.streaming import streams as ST
 from packlens.streaming.keyed_table import KeyedTable
 
 
-def event_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = read_table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need an instant
+#: Arrival of an event in microseconds: up to an hour after its time, every fiftieth event three days after it. Batches cut that range evenly.
+_ARRIVES_SQL = "epoch_us(ts) + event_id % 4 * 1200000000 + CASE WHEN event_id % 50 = 0 THEN 259200000000 ELSE 0 END"
+BATCHES = 4
+
+
+def arrivals(spark: SparkSession, d: str, batches: int = BATCHES) -> Iterator[tuple[DataFrame, str]]:
+    """The events in order of arrival: before each step a batch of files is added to the folder, which a stream then drains."""
+    folder = f"{shared_folder(spark)}/incoming"
+    events = read_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need an instant
+    arrives = F.unix_micros("ts") + F.col("event_id") % 4 * 1_200_000_000 + F.when(F.col("event_id") % 50 == 0, 259_200_000_000).otherwise(0)
+    low, high = events.agg(F.min(arrives), F.max(arrives)).first()
+    low, high = low or 0, high or 0
+    batch = F.floor((arrives - F.lit(low)) * F.lit(batches) / F.lit(high - low + 1))
+    for k in range(batches):
+        events.where(batch == k).write.mode("append").parquet(folder)
+        yield spark.readStream.schema(events.schema).parquet(folder)
 
 
 @query("sta4_duplicate_uploads_stream", """
 SELECT scan_id, sha256 FROM (SELECT DISTINCT user_id AS scan_id, event_type || CAST(event_id % 20 AS VARCHAR) AS sha256 FROM events) q""")
 def sta4(spark: SparkSession, d: str) -> DataFrame:
-    """Uploads with repeated content; the delay spans the whole log, so the result equals DISTINCT."""
-    uploads = event_stream(spark, d).select(
-        F.col("user_id").alias("scan_id"), F.concat("event_type", (F.col("event_id") % 20).cast("string")).alias("sha256"), "ts")
-    return ST.run_to_table(spark, ST.dedupe_images(uploads, delay="3650 days").select("scan_id", "sha256"))
+    """Uploads with repeated content, some of them days late: each is kept once, whether the state still knows it or only the table."""
+    folder = shared_folder(spark)
+    table = KeyedTable(spark, f"{folder}/table", "scan_id", buckets=16)
+    for events in arrivals(spark, d):
+        uploads = events.select(F.col("user_id").alias("scan_id"), F.concat("event_type", (F.col("event_id") % 20).cast("string")).alias("sha256"))
+        if not table.exists():
+            table.create(spark.createDataFrame([], uploads.schema))
+        ST.drain(ST.dedupe_images(uploads, idle="1 second"), ST.keep_first_uploads(table), f"{folder}/checkpoint")
+    return table.read(table.latest())
 
 
-@query("sta5_action_trend_stream", """
-SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS action, count(*) AS n FROM events GROUP BY ALL""")
+@query("sta5_action_trend_stream", f"""
+WITH a AS (SELECT ts, event_type AS action, {_ARRIVES_SQL} AS arrives FROM events),
+b AS (SELECT ts, action, CAST(floor((arrives - low) * {BATCHES} / (high - low + 1)) AS INT) AS batch
+      FROM a, (SELECT min(arrives) AS low, max(arrives) AS high FROM a) m),
+marks AS (SELECT k AS batch, max(ts) - INTERVAL 1 HOUR AS mark FROM b, range({BATCHES}) r(k) WHERE b.batch <= k - 2 GROUP BY k)
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, action, count(*) AS n
+FROM b LEFT JOIN marks USING (batch)
+WHERE mark IS NULL OR time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR > mark
+GROUP BY ALL""")
 def sta5(spark, d):
-    """Complete mode over a finite log: every window, also the one the watermark would hold back."""
-    actions = event_stream(spark, d).select(F.col("event_type").alias("action"), "ts")
-    trend = ST.run_to_table(spark, ST.action_trend(actions), mode="complete")
-    return trend.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    """Update mode with a watermark of one hour: events three days late are counted only where their window is still open."""
+    folder = shared_folder(spark)
+    table = KeyedTable(spark, f"{folder}/table", "window_start", buckets=16)
+    for events in arrivals(spark, d):
+        trend = ST.action_trend(events.select(F.col("event_type").alias("action"), "ts"))
+        if not table.exists():
+            table.create(spark.createDataFrame([], trend.schema))
+        ST.drain(trend, ST.keep_windows(table), f"{folder}/checkpoint", mode="update")
+    return table.read(table.latest()).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def shuffled_files(df: DataFrame, files: int = 4) -> str:

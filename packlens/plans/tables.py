@@ -428,6 +428,27 @@ _STATUS = f"""CASE WHEN blur_score < 40 OR glare_score > 0.175 OR width < 300 OR
  WHEN foreground_ratio < 0.02 AND background_ratio > 0.95 THEN 'REVIEW' ELSE 'ACCEPTED' END"""
 
 
+@query("jn4_image_dossier_rows", with_tables("images", "blocks") + f"""
+SELECT i.image_id, i.scan_id, i.image_type, i.processing_status, {_STATUS} AS quality_status, i.blur_score, i.glare_score, array_to_string({_WARN}, ',') AS warnings,
+  b.block_id, b.block_order, b.text, b.confidence, b.x1, b.y1, b.x2, b.y2
+FROM images i LEFT JOIN blocks b ON b.image_id = i.image_id""")
+def jn4_rows(spark, d):
+    images = derived(spark, d, "images")
+    return SC.image_dossier_rows(images, QL.classify(images), label_blocks(spark, d))
+
+
+@query("jn14_assistant_context_rows", with_tables("scans", "products", "images", "declarations") + f""",
+items AS (
+  SELECT scan_id, 'quality' AS section, image_id AS item_id, {_STATUS} AS label, NULL AS raw_text, NULL AS confidence, NULL AS review_status, blur_score, glare_score, array_to_string({_WARN}, ',') AS warnings FROM images
+  UNION ALL SELECT scan_id, 'declaration', declaration_id, declaration_type, raw_text, confidence, resolution_status, NULL, NULL, NULL FROM declarations)
+SELECT s.scan_id, s.scan_code, coalesce(p.name, s.scan_code) AS active_product, s.status, p.brand, p.barcode,
+  i.section, i.item_id, i.label, i.raw_text, i.confidence, i.review_status, i.blur_score, i.glare_score, i.warnings
+FROM scans s LEFT JOIN products p ON p.product_id = s.product_id LEFT JOIN items i ON i.scan_id = s.scan_id""")
+def jn14_rows(spark, d):
+    images = derived(spark, d, "images")
+    return SC.assistant_context_rows(derived(spark, d, "scans"), derived(spark, d, "products"), QL.classify(images), derived(spark, d, "declarations"))
+
+
 @query("qlt2_status", with_tables("images") + f"SELECT image_id, {_STATUS} AS quality_status FROM images")
 def qlt2(spark, d):
     return derived(spark, d, "images").select("image_id", QL.quality_status().alias("quality_status"))

@@ -69,6 +69,10 @@ class KeyedTable:
         self._remove_unnamed(batch_id + 1)
         return touched
 
+    def exists(self) -> bool:
+        folder, files = self._folder("manifest")
+        return files.exists(folder)
+
     def latest(self) -> int:
         """Number of the last committed version."""
         folder, files = self._folder("manifest")

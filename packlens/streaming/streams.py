@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from packlens.operators.review import composed_in_order, event_tables, upsert_declarations, valid_actions
@@ -17,19 +18,61 @@ from packlens.session import shared_folder
 from packlens.streaming.keyed_table import KeyedTable
 
 
-def dedupe_images(images: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """STA4: drop repeated (scan, content hash) uploads within the watermark."""
-    return images.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["scan_id", "sha256"])
+def dedupe_images(images: DataFrame, idle: str = "1 hour") -> DataFrame:
+    """STA4: the first upload of each (scan, content hash) among those that arrive within ``idle``.
+
+    The watermark follows arrival, not the time of upload: no upload is late, whatever its time, and the state of a hash expires ``idle`` after
+    it came, about when its scan's session ends. The state so holds recent arrivals only; repeats that come later are known from the table
+    that :func:`keep_first_uploads` keeps.
+    """
+    arrived = images.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", idle)
+    return arrived.dropDuplicatesWithinWatermark(["scan_id", "sha256"]).drop("__arrived")
+
+
+def keep_first_uploads(table: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink for :func:`dedupe_images`: adds uploads whose (scan, hash) the table, keyed by scan_id, does not hold; null is a value like others."""
+
+    def merged(current: DataFrame, batch: DataFrame) -> DataFrame:
+        held = current.select(F.col("scan_id").alias("__scan"), F.col("sha256").alias("__hash"))
+        new = F.col("scan_id").eqNullSafe(F.col("__scan")) & F.col("sha256").eqNullSafe(F.col("__hash"))
+        return current.unionByName(batch.join(held, new, "left_anti").dropDuplicates(["scan_id", "sha256"]))
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        table.merge(batch, batch_id, merged)
+
+    return apply
 
 
 def action_trend(events: DataFrame, ts: str = "ts", width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """STA5: audit actions per event-time window; late rows beyond the watermark are ignored."""
+    """STA5: audit actions per event-time window, for update mode; keep the counts with :func:`keep_windows`.
+
+    A window leaves the state, with its last count, once the watermark (greatest time seen, less ``delay``) has passed its end. Rows of such
+    a window are late and ignored. As Spark judges lateness by the watermark of the batch before, a row of batch k is late if its window ended
+    at or before the greatest time of batches 0 to k-2, less ``delay``.
+    """
     return (
         events.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), "action").agg(F.count("*").alias("n"))
         .select(F.col("w.start").alias("window_start"), "action", "n")
     )
 
 
+def keep_windows(table: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink for :func:`action_trend`: the newest count of each window and action, in a table keyed by window_start.
+
+    A batch changes recent windows, so it writes the few buckets that these lie in.
+    """
+
+    def merged(current: DataFrame, batch: DataFrame) -> DataFrame:
+        changed = batch.select(F.col("window_start").alias("__start"), F.col("action").alias("__action"))
+        same = (F.col("window_start") == F.col("__start")) & F.col("action").eqNullSafe(F.col("__action"))
+        return current.join(changed, same, "left_anti").unionByName(batch)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        table.merge(batch, batch_id, merged)
+
+    return apply
+
+
 def status_buckets(events: DataFrame, delay: str = "2 hours", width: str = "1 minute") -> DataFrame:
     """STA3 as a stream of closed buckets (scan_id, ts, t, n): the events of a scan and minute as one transition table.
 
@@ -143,8 +186,8 @@ def merge_reviews(table: KeyedTable) -> Callable[[DataFrame, int], None]:
     return apply
 
 
-def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Run a finite stream through a batch sink until its input is used up.
+def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Run a finite stream through a batch sink until its input is used up; returns the ended query with its progress.
 
     Timers by processing time would ask for batches without data for ever, so there are none of these here.
     """
@@ -159,6 +202,7 @@ def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     finally:
         conf.set(key, before)
     query.awaitTermination()
+    return query
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:

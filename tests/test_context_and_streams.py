@@ -130,3 +130,62 @@ def test_streamed_statuses_with_open_minutes(spark, tmp_path):
     table.create(spark.createDataFrame([], buckets.schema))
     ST.drain(buckets, ST.keep_buckets(table), f"{tmp_path}/checkpoint", mode="update")
     assert sorted(fold_buckets(table.read(table.latest())).collect()) == sorted(fold_status(df).collect())
+
+
+def test_upload_state_expires_and_no_repeat_is_kept(spark, tmp_path):
+    """Each batch brings a hundred new hashes, the first ten again and a null one: the state holds a batch, the table all hashes once."""
+    schema = "scan_id bigint, sha256 string"
+    table = KeyedTable(spark, f"{tmp_path}/table", "scan_id", buckets=4)
+    table.create(spark.createDataFrame([], schema))
+    sizes = []
+    for k in range(4):
+        new = spark.range(100).selectExpr("id % 5 scan_id", f"concat('h', id + {100 * k}) sha256")
+        again = spark.range(20).selectExpr("id % 5 scan_id", "concat('h', id % 10) sha256").unionByName(spark.sql("SELECT cast(null AS bigint) scan_id, cast(null AS string) sha256"))
+        new.unionByName(again).write.mode("append").parquet(f"{tmp_path}/incoming")
+        uploads = spark.readStream.schema(schema).parquet(f"{tmp_path}/incoming")
+        done = ST.drain(ST.dedupe_images(uploads, idle="0 seconds"), ST.keep_first_uploads(table), f"{tmp_path}/checkpoint")
+        sizes.append(done.lastProgress.stateOperators[0].numRowsTotal)
+    assert max(sizes) <= 111
+    rows = table.read(table.latest()).collect()
+    assert len(rows) == len(set(rows)) == 401
+
+
+def test_trend_drops_late_rows_and_forgets_closed_windows(spark, tmp_path):
+    """A row is late once the batch before last has moved the watermark past its window."""
+    batches = [[(0, "a"), (60, "a"), (7200, "b")], [(10, "a"), (90_000, "a")], [(20, "a"), (89_990, "a"), (90_010, None)], [(30, "a"), (180_000, "b"), (180_001, "b")]]
+    schema = "s long, action string"
+    table = KeyedTable(spark, f"{tmp_path}/table", "window_start", buckets=4)
+    seen, expected, state = [], {}, 0
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/incoming")
+        events = spark.readStream.schema(schema).parquet(f"{tmp_path}/incoming").selectExpr("timestamp_seconds(s) ts", "action")
+        trend = ST.action_trend(events)
+        if k == 0:
+            table.create(spark.createDataFrame([], trend.schema))
+        done = ST.drain(trend, ST.keep_windows(table), f"{tmp_path}/checkpoint", mode="update")
+        state = done.lastProgress.stateOperators[0].numRowsTotal
+        mark = max((s for b in batches[:max(0, k - 1)] for s, _ in b), default=0) - 3600
+        for s, action in rows:
+            start = s // 3600 * 3600
+            if k < 2 or start + 3600 > mark:
+                expected[start, action] = expected.get((start, action), 0) + 1
+        seen.append(len(expected))
+    got = {(int(r["w"]), r["action"]): r["n"] for r in table.read(table.latest()).selectExpr("unix_seconds(window_start) w", "action", "n").collect()}
+    assert got == expected and got[0, "a"] == 3 and state < len(expected)
+
+
+def test_upsert_refreshes_the_whole_snapshot(spark):
+    """A reviewed row with candidates, one without, a new row and one that is no longer detected."""
+    existing = spark.createDataFrame(
+        [(1, "MRP", 10, "CONFIRMED", True, "rev", "m", "n"), (1, "BATCH", 11, "REJECTED", True, None, "m", "n"), (2, "MRP", 12, "AUTO_RESOLVED", False, None, "m", "n")],
+        "scan_id int, declaration_type string, declaration_id int, resolution_status string, reviewed boolean, reviewed_value string, machine_value string, normalized_value string")
+    fresh = spark.createDataFrame(
+        [(1, "MRP", "NOT_DETECTED", None, 0.7, "raw", "7", True, "two"), (3, "MRP", "AUTO_RESOLVED", "9", 0.9, "nine", "8", False, "one"), (2, "MRP", "NOT_DETECTED", None, 0.1, "x", "9", False, "none")],
+        "scan_id int, declaration_type string, resolution_status string, machine_value string, confidence double, raw_text string, source_block_id string, has_conflict boolean, resolution_reason string")
+    rows = {(r["scan_id"], r["declaration_type"]): r.asDict() for r in upsert_declarations(existing, fresh, "v2").collect()}
+    assert set(rows) == {(1, "MRP"), (1, "BATCH"), (3, "MRP")}
+    pick = lambda key: [rows[key][c] for c in ("raw_text", "source_block_id", "has_conflict", "resolution_reason", "normalized_value", "canonical_value", "confidence", "extractor_version")]
+    preserved = "Machine extraction updated; human review preserved."
+    assert pick((1, "MRP")) == ["raw", "7", True, preserved, "n", "rev", 0.0, "v2"]
+    assert pick((1, "BATCH")) == ["", None, False, preserved, "n", None, 0.0, "v2"]
+    assert pick((3, "MRP")) == ["nine", "8", False, "one", "9", "9", 0.9, "v2"]

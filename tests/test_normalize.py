@@ -98,3 +98,14 @@ def test_wer_against_brute_force(spark):
     for r in got:
         ref, hyp = r["r"].split(), r["h"].split()
         assert abs(r["w"] - min(1.0, levenshtein(ref, hyp) / len(ref))) < 1e-4
+
+
+def test_wer_beyond_a_million_distinct_words(spark):
+    """Words of one side only share a code point, so more of them than there are code points change nothing."""
+    long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1_200_000)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ").alias("r"))
+    got = long.select(S.wer(F.col("r"), F.lit("w2 zz w1200000")).alias("a"), S.wer(F.lit("w7 x w9 w7"), F.concat(F.lit("w7 y "), F.col("r"))).alias("b")).first()
+    assert got["a"] == 1.0 and got["b"] == 1.0
+    pairs = [(a, b) for a in ("p q r s", "p x q y r", "x x y", "q p") for b in ("p q", "z p z q z r", "r q p", "z z z")]
+    for r in spark.createDataFrame(pairs, "r string, h string").select("r", "h", S.wer(F.col("r"), F.col("h")).alias("w")).collect():
+        ref, hyp = r["r"].split(), r["h"].split()
+        assert abs(r["w"] - min(1.0, levenshtein(ref, hyp) / len(ref))) < 1e-4
