@@ -16,6 +16,10 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PLAIN_WORDS = "some ordinary words that no benchmark item has ever used before in this or any other order"
 
 
+#: Documents that hold benchmark items without an id and with an odd one.
+PLANTED = [(901, f"x {PLAIN_WORDS} y"), (902, "a three word item")]
+
+
 def words(text):
     return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
@@ -346,7 +350,7 @@ def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark):
 
 def test_decontamination(spark, sample, docs):
     bench = spark.read.parquet(f"{sample}/benchmark.parquet").selectExpr("item_id", "text", "1 as node")
-    items = [(str(r["item_id"]), r["text"]) for r in bench.collect()] + [("short", "one"), ("nil", None), ("fox", "the quick brown fox jumps over the lazy dog while seven wizards quietly mix")]
+    items = [(str(r["item_id"]), r["text"]) for r in bench.collect()] + [("short", "one"), ("nil", None), ("", PLAIN_WORDS), ("nul\x00byte", "three word item"), ("fox", "the quick brown fox jumps over the lazy dog while seven wizards quietly mix")]
     windows = defaultdict(set)
     for i, t in items:
         w = words(t)
@@ -354,7 +358,7 @@ def test_decontamination(spark, sample, docs):
         for k in range(len(w) - n + 1 if n else 0):
             windows[tuple(w[k:k + n])].add(i)
     expected = []
-    for i, t in texts(docs):
+    for i, t in texts(docs) + PLANTED:
         w, cover, found = words(t), set(), set()
         for n in {len(x) for x in windows}:
             for k in range(len(w) - n + 1):
@@ -362,7 +366,8 @@ def test_decontamination(spark, sample, docs):
                     cover.update(range(k, k + n))
                     found |= hit
         expected.append((i, len(w), len(cover), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(cover) and 20 * len(cover) >= len(w)))
-    frame = spark.createDataFrame(items, "item_id string, text string")
+    frame = spark.createDataFrame([(i or None, t) for i, t in items], "item_id string, text string")
+    docs = docs.unionByName(spark.createDataFrame(PLANTED, "doc_id long, text string"), True)
     for size in (decontaminate.BENCHMARK_BLOCK_BYTES, 2000):
         with pytest.MonkeyPatch.context() as patch:
             patch.setattr(decontaminate, "BENCHMARK_BLOCK_BYTES", size)
@@ -370,6 +375,38 @@ def test_decontamination(spark, sample, docs):
         assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == Counter(expected)
 
 
+def test_proximity_matches(spark, sample, monkeypatch):
+    """Every listed match and no other, against all windows at all places; a passage with three words changed and one put in is found."""
+    fox = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix potent brews"
+    changed = "well then quick brown cat jumps over the lazy dog while seven very wizards quietly stir potent brews"
+    rows = [(1, fox), (2, changed), (None, changed), (3, fox[4:]), (4, " ".join(reversed(fox.split()))), (5, None), (6, ""), (7, "the fox " * 40 + fox), (8, "mix potent brews")]
+    rows += [(100 + i, t) for i, t in enumerate(x["text"] for x in given(spark, sample).limit(20).collect())]
+    items = [("fox", fox), (None, "short one"), ("nil", None)] + [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{sample}/benchmark.parquet").limit(3).collect()]
+    often = Counter(w for _, t in rows for w in words(t))
+    expected = Counter()
+    for name, t in items:
+        w = words(t)
+        size = min(13, len(w))
+        need = -(-3 * size // 4)
+        for s in range(len(w) - size + 1 if size else 0):
+            window = w[s:s + size]
+            rare = sorted(range(size), key=lambda k: (often[window[k]], k))[:size - need + 1]
+            for doc, text in rows:
+                d = words(text)
+                for p in {q - k for k in rare for q, x in enumerate(d) if x == window[k]}:
+                    n = sum(window[k] in d[max(0, p + k - 2):max(0, p + k + 3)] for k in range(size))
+                    if n >= need:
+                        expected[doc, name or "", s, p, n, p >= 0 and d[p:p + size] == window] += 1
+    index = decontaminate.build_index(spark.createDataFrame(rows, "doc_id long, text string"))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for size in (decontaminate.BENCHMARK_BLOCK_BYTES, 200):
+        monkeypatch.setattr(decontaminate, "BENCHMARK_BLOCK_BYTES", size)
+        monkeypatch.setattr(decontaminate, "_CANDIDATES", size)
+        got = decontaminate.matches(index, bench).collect()
+        assert Counter((r["doc_id"], r["item_id"], r["window_start"], r["position"], r["n_terms"], r["exact"]) for r in got) == expected
+    assert {(1, True), (2, False), (None, False)} <= {(r["doc_id"], r["exact"]) for r in got} and not any(r["doc_id"] == 4 for r in got)
+
+
 def test_packing_round_trip(docs):
     tokenizer = packing.Tokenizer()
     pieces, rows = defaultdict(list), packing.pack_tokens(docs, seq_len=256).collect()
