@@ -33,6 +33,13 @@ def test_context_has_sections_findings_and_note(spark):
     assert of("d") == [] and of("e") == ["Active Product: Mug | Session Status: CREATED"]
 
 
+def test_context_broadcasts_no_table_of_scans(spark):
+    kept = []
+    rows = select_context(*frames(spark), keep=lambda r: kept.append(r) or r)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (rows, kept[0])]
+    assert len(kept) == 1 and not any("Broadcast" in p for p in plans)
+
+
 def test_savings_of_every_intent(spark):
     questions, _, quality, decls, findings = frames(spark)
     counts = context_counts(questions, quality, decls, findings)
