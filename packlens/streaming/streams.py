@@ -128,6 +128,13 @@ def _newest(rows: pd.DataFrame) -> pd.DataFrame:
     return last.reset_index()[_FOLD]
 
 
+def _later(a: tuple, b: tuple) -> tuple:
+    """Two review states of a declaration as one: the later action, then the later correction. States are rows of ``_FOLD`` without the id."""
+    action = max(a, b, key=lambda r: r[:2])
+    fix = max(a, b, key=lambda r: (bool(r[5]), *r[6:8]))
+    return (*action[:5], *fix[5:])
+
+
 def review_states(actions: DataFrame, idle_ms: int = 600_000) -> DataFrame:
     """STA2 as a stream: the review state of each declaration that a micro-batch touches (update mode).
 
@@ -152,13 +159,14 @@ def review_states(actions: DataFrame, idle_ms: int = 600_000) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = list(parts) + ([pd.DataFrame([(*key, *state.get)], columns=_FOLD)] if state.exists else [])
-        newest = rows[0]
-        for more in rows:
-            newest = _newest(pd.concat([newest, more]))
-        state.update(tuple(None if x is None or x != x else x.item() if hasattr(x, "item") else x for x in newest.iloc[0, 1:]))
+        last = state.get if state.exists else None
+        for part in parts:
+            for row in zip(*(part[c].tolist() for c in _FOLD[1:])):
+                last = row if last is None else _later(last, row)
+        last = tuple(None if x is None or x != x else x for x in last)
+        state.update(last)
         state.setTimeoutDuration(idle_ms)
-        yield newest
+        yield pd.DataFrame([(*key, *last)], columns=_FOLD)
 
     schema = f"declaration_id string, {_STATE}"
     return flat.mapInPandas(reduced, schema).groupBy("declaration_id").applyInPandasWithState(fold, schema, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)

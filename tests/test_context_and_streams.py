@@ -40,6 +40,14 @@ def test_context_broadcasts_no_table_of_scans(spark):
     assert len(kept) == 1 and not any("Broadcast" in p for p in plans)
 
 
+def test_review_states_meet_by_later_action_and_later_correction():
+    corrected = (5, 2, "CORRECTED", "x", "u", True, 5, 2, "x")
+    confirmed = (5, 3, "CONFIRMED", None, "v", False, 0, 0, None)
+    older = (4, 9, "CORRECTED", "y", "w", True, 4, 9, "y")
+    assert ST._later(corrected, confirmed) == ST._later(confirmed, corrected) == (5, 3, "CONFIRMED", None, "v", True, 5, 2, "x")
+    assert ST._later(ST._later(older, confirmed), corrected) == (5, 3, "CONFIRMED", None, "v", True, 5, 2, "x")
+
+
 def test_savings_of_every_intent(spark):
     questions, _, quality, decls, findings = frames(spark)
     counts = context_counts(questions, quality, decls, findings)
