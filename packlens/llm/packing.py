@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +135,16 @@ def _pack(pieces: list[tuple[int | None, int, np.ndarray]], seq_len: int, pad: i
         yield ids.tobytes(), bounds, positions.tobytes(), [pieces[i][0] for i in row], [pieces[i][1] for i in row], bounds[-1]
 
 
+def _record_batches(rows: Iterator[tuple], most: int = 256) -> Iterator[pa.RecordBatch]:
+    """Packed rows as Arrow batches; rows are taken only as a batch needs them."""
+    while some := list(islice(rows, most)):
+        ids, bounds, positions, owners, offsets, n = zip(*some)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(ids, pa.binary()), pa.array(bounds, pa.list_(pa.int32())), pa.array(positions, pa.binary()),
+            pa.array(owners, pa.list_(pa.int64())), pa.array(offsets, pa.list_(pa.int64())), pa.array(n, pa.int32()),
+        ], names=["ids", "cu_seqlens", "position_ids", "doc_ids", "offsets", "n_tokens"])
+
+
 def pack_tokens(docs: DataFrame, seq_len: int = SEQ_LEN, folder: str = TOKENIZER_FOLDER, file: str = TOKENIZER_FILE,
                 separator: int | None = SEPARATOR, pad: int = PAD) -> DataFrame:
     """Packed rows of all documents; map-only, so a lost executor repeats its own blocks and nothing else."""
@@ -149,13 +160,7 @@ def pack_tokens(docs: DataFrame, seq_len: int = SEQ_LEN, folder: str = TOKENIZER
                 if separator is not None:
                     ids = np.append(ids, np.uint32(separator))
                 pieces += [(doc, at, ids[at:at + seq_len]) for at in range(0, len(ids), seq_len)]
-            rows = list(_pack(pieces, seq_len, pad))
-            for at in range(0, len(rows), 256):
-                ids, bounds, positions, owners, offsets, n = zip(*rows[at:at + 256])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.binary()), pa.array(bounds, pa.list_(pa.int32())), pa.array(positions, pa.binary()),
-                    pa.array(owners, pa.list_(pa.int64())), pa.array(offsets, pa.list_(pa.int64())), pa.array(n, pa.int32()),
-                ], names=["ids", "cu_seqlens", "position_ids", "doc_ids", "offsets", "n_tokens"])
+            yield from _record_batches(_pack(pieces, seq_len, pad))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)

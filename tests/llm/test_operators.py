@@ -407,6 +407,14 @@ def test_proximity_matches(spark, sample, monkeypatch):
     assert {(1, True), (2, False), (None, False)} <= {(r["doc_id"], r["exact"]) for r in got} and not any(r["doc_id"] == 4 for r in got)
 
 
+def test_packed_rows_become_batches_as_they_are_needed():
+    taken = []
+    rows = ((b"i", [0, 1], b"p", [k], [0], 1) for k in range(600) if taken.append(k) is None)
+    batches = packing._record_batches(rows)
+    assert next(batches).num_rows == len(taken) == 256
+    assert [b.num_rows for b in batches] == [256, 88]
+
+
 def test_packing_round_trip(docs):
     tokenizer = packing.Tokenizer()
     pieces, rows = defaultdict(list), packing.pack_tokens(docs, seq_len=256).collect()
