@@ -200,3 +200,17 @@ def test_strips_do_not_change_line_numbers(make_blocks):
         return sorted((r["line_no"], r["y1"], r["up"] and r["up"]["y2"]) for r in out.collect())
 
     assert rows(640) == rows(100_000) and [r[0] for r in rows(640)] == list(range(300))
+
+
+def test_spans_without_guards_are_not_built(make_blocks):
+    # anchor and value on different lines, a toll-free number that a line end divides, spaces of other alphabets
+    pack = [("b1", "MRP", 0.9, 10, 10, 60, 30), ("b2", "Rs. 120.00", 0.9, 10, 35, 90, 55), ("b3", " Customer Care 1 ", 0.9, 10, 300, 200, 320),
+            ("b4", "800 425 4449", 0.9, 10, 325, 200, 345), ("b5", "plain words", 0.9, 10, 600, 200, 620), ("b6", "more of them", 0.9, 10, 625, 200, 645)]
+    blocks = make_blocks({("pack", "FRONT"): pack})
+    keys = ("declaration_type", "raw_value", "stage", "a", "b", "c", "confidence")
+    marks, wanted = E.line_marks(("care",))
+    few, every = L.candidate_spans(blocks, marks=marks, wanted=wanted), L.candidate_spans(blocks)
+    rows = [sorted(map(tuple, E.candidates_from_spans(s, ("care",)).select(*keys).collect()), key=str) for s in (few, every)]
+    assert rows[0] == rows[1] and "CONSUMER_CARE_PHONE" in {r[0] for r in rows[0]}
+    assert few.count() < every.count()
+    assert {r["text"] for r in L.candidate_spans(blocks, kinds=("single",)).collect()} == {"MRP", "Rs. 120.00", "Customer Care 1", "800 425 4449", "plain words", "more of them"}
