@@ -2,8 +2,10 @@
 
 import json
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from packlens.operators import analytics as A
 from packlens.operators import consolidate as C
 from packlens.operators import conversation as CV
 from packlens.operators import evaluate as EV
@@ -105,3 +107,19 @@ def test_bulk_codes_are_dense_and_unique(spark):
         assert [r["number"] for r in by_year[year]] == list(range(start, start + len(by_year[year])))
         assert by_year[year][0]["scan_code"] == f"SCAN-{year}-{start:06d}"
     assert by_year[None][0]["scan_code"] is None and SC.assign_codes(incoming.limit(0), scans, ["at", "id"]).count() == 0
+
+
+def test_checklist_items_fan_out_behind_the_join(spark):
+    scans = spark.createDataFrame([("s1",), ("s2",), ("s2",), (None,)], "scan_id string")
+    rows = [("s1", "MRP", "CONFIRMED", False), ("s1", "MRP", "NEEDS_REVIEW", False), ("s1", "NET_QUANTITY", "REJECTED", False),
+            ("s2", "MRP", "AUTO_RESOLVED", True), ("s2", "nothing", "CONFIRMED", False), (None, "MRP", "CONFIRMED", False)]
+    decls = spark.createDataFrame(rows, "scan_id string, declaration_type string, resolution_status string, has_conflict boolean")
+    items = A.checklist(scans, decls)
+    # of the shuffles only the one of the counted facts is by item; the 19 items of each scan are not shuffled
+    plan = A.completeness(items)._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert sum("item#" in line for line in keys) == 1
+    found = sorted((r["scan_id"], r["status"], r["matching"]) for r in items.where("status <> 'NOT_DETECTED'").collect())
+    assert found == [("s1", "CONFIRMED", 2), ("s1", "REJECTED", 1), ("s2", "CONFLICT", 1), ("s2", "CONFLICT", 1)] and items.count() == 4 * 19
+    assert sorted(map(str, A.completeness(items).collect())) == sorted(map(str, [
+        Row(scan_id="s1", present=1, of_items=19), Row(scan_id="s2", present=2, of_items=38), Row(scan_id=None, present=0, of_items=19)]))
