@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packlens.session import shared_folder
+
 #: Columns that tell candidates of an image apart.
 CANDIDATE = ["image_id", "declaration_type", "stage", "a", "b", "c", "ext_seq"]
 
@@ -22,7 +24,12 @@ def evidence_payload(candidates: DataFrame, blocks: DataFrame) -> DataFrame:
     """LAY11: candidates with one ``evidence`` struct: image and its type, block ids, count, union box, mean confidence, and each block.
 
     A block id that the blocks do not hold counts in the ids only. Lists are as long as a candidate's evidence (a few lines of text).
+    The candidates are read twice, so they are written first; else their whole extraction would run twice.
     """
+    spark = candidates.sparkSession
+    path = shared_folder(spark) + "/evidence_candidates"
+    candidates.write.parquet(path)
+    candidates = spark.read.parquet(path)
     block = F.struct("position", F.col("block_id").alias("id"), "text", F.col("confidence").cast("double").alias("confidence"), F.struct("x1", "y1", "x2", "y2").alias("bbox"))
     found = evidence_blocks(candidates, blocks).groupBy(*CANDIDATE).agg(
         F.array_sort(F.collect_list(block)).alias("rows"), F.min("x1").alias("bx1"), F.min("y1").alias("by1"), F.max("x2").alias("bx2"), F.max("y2").alias("by2"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from packlens.functions.text import FIRST, ci
 from packlens.operators import consolidate as C
 from packlens.operators import extract as E
 from packlens.operators import layout as L
@@ -214,3 +215,33 @@ def test_spans_without_guards_are_not_built(make_blocks):
     assert rows[0] == rows[1] and "CONSUMER_CARE_PHONE" in {r[0] for r in rows[0]}
     assert few.count() < every.count()
     assert {r["text"] for r in L.candidate_spans(blocks, kinds=("single",)).collect()} == {"MRP", "Rs. 120.00", "Customer Care 1", "800 425 4449", "plain words", "more of them"}
+
+
+def test_spans_of_lines_of_many_blocks(make_blocks):
+    """Numbered spans against all runs of 2 to 6 blocks, for lines of 1 to 9 blocks, in order."""
+    images = {(f"i{n}", "FRONT"): [(f"b{k}", f"w{k}", 0.9, 10 + 50 * k, 10, 40 + 50 * k, 30) for k in range(n)] for n in range(1, 10)}
+    got = L.candidate_spans(make_blocks(images)).orderBy("stage", "a", "b", "c").collect()
+    for n in range(1, 10):
+        runs = [(0, n)] * (n > 1) + [(s, k) for k in range(2, min(6, n - 1) + 1) for s in range(n - k + 1)]
+        want = [(0, f"w{k}", [f"i{n}.b{k}"]) for k in range(n)] + [(1, " ".join(f"w{s + j}" for j in range(k)), [f"i{n}.b{s + j}" for j in range(k)]) for s, k in runs]
+        mine = [r for r in got if r["image_id"] == f"i{n}"]
+        assert [(r["stage"], r["text"], [b["block_id"] for b in r["blocks"]]) for r in mine] == want
+        assert all(r["n_blocks"] == len(r["blocks"]) and not r["is_multi_line"] for r in mine)
+
+
+def test_callers_filter_does_not_repeat_the_values(make_blocks):
+    blocks = make_blocks({("pack", "FRONT"): PACKS["quantity"]})
+    every = E.extract_candidates(blocks, ("quantity",))
+    few = every.where("normalized.is_multipack OR normalized.unit = 'g'")
+    used = [df._jdf.queryExecution().optimizedPlan().toString().count("canonical_value, CASE") for df in (every, few)]
+    assert used[0] == used[1] > 0
+
+
+def test_first_characters_change_no_match(spark):
+    texts = ["MRP 5", "m.r.p. Rs 7/-", "xMRP 5", "12 TABLETS", "12.5.6 ml", "5, kg", "7 Kg", "1 2 capſ", "411001 road", "5  L", "3units", "3.5unit 9 m", "Net Wt. 5 g", "éNET WT 5",
+             "10 N x 50 g = 500 g", "PacKed by X", "MFG. by A", "imp. date 1", "Dist by Q", "B.B. 3", "uſe by 4", "6 months from mfg", "lot no 5\nB. NO. 7", "FSSAI 1", "LIC NO", "baŕ 5ml", "5́ ml", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    pairs = [(F.regexp_extract_all("t", F.lit(f"(?m)(?Uid)({p})"), 1), F.regexp_extract_all("t", F.lit("(?m)(?Uid)(" + ci(p)[6:] + ")"), 1)) for p in FIRST]
+    flat = [c.alias(f"{side}{i}") for i, pair in enumerate(pairs) for side, c in zip("ab", pair)]
+    for r in rows.select("t", *flat).collect():
+        assert all(r[f"a{i}"] == r[f"b{i}"] for i in range(len(pairs))), r["t"]

@@ -64,3 +64,10 @@ def test_evidence_payload(spark):
     assert [b["id"] for b in first["blocks"]] == first["ocr_block_ids"] == ["b2", "b1"] and first["blocks"][0] == {"id": "b2", "text": None, "confidence": 0.4, "bbox": {"x1": 5, "y1": 1, "x2": 9, "y2": 3}}
     for key in (("i", 2, 0), ("j", 1, 0)):
         assert got[key]["contributing_blocks_count"] == 0 and got[key]["average_ocr_confidence"] == 0.0 and got[key]["bounding_box"] == {"x1": 0, "y1": 0, "x2": 0, "y2": 0}
+
+
+def test_evidence_payload_reads_stored_candidates(spark):
+    blocks = spark.createDataFrame([("i", "b1", "MRP", 0.9, 1, 2, 3, 4)], "image_id string, block_id string, text string, confidence double, x1 int, y1 int, x2 int, y2 int")
+    candidates = spark.createDataFrame([("i", "FRONT", "MRP", 1, 0, 0, 0, 0, ["b1"])], "image_id string, image_type string, declaration_type string, stage int, a int, b int, c int, ext_seq int, block_ids array<string>")
+    plan = evidence_payload(candidates, blocks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and plan.count("FileScan parquet") == 2
