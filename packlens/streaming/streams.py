@@ -5,13 +5,11 @@ State stores, watermarks and exactly-once bookkeeping are Spark's; checkpoints l
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from packlens.operators.review import composed_in_order, event_tables, upsert_declarations, valid_actions
 from packlens.session import shared_folder
@@ -115,61 +113,33 @@ def upsert_batches(table: KeyedTable) -> Callable[[DataFrame, int], None]:
     return apply
 
 
-_FOLD = ["declaration_id", "t", "action_id", "action", "value", "reviewed_by", "fixed", "fix_t", "fix_id", "fix_value"]
-_STATE = "t long, action_id long, action string, value string, reviewed_by string, fixed boolean, fix_t long, fix_id long, fix_value string"
-
-
-def _newest(rows: pd.DataFrame) -> pd.DataFrame:
-    """Last action and last correction of each declaration, one row each."""
-    last = rows.sort_values(["t", "action_id"]).groupby("declaration_id").tail(1).set_index("declaration_id")
-    fixes = rows[rows["fixed"]].sort_values(["fix_t", "fix_id"]).groupby("declaration_id").tail(1).set_index("declaration_id")
-    for c in ("fixed", "fix_t", "fix_id", "fix_value"):
-        last.loc[fixes.index, c] = fixes[c]
-    return last.reset_index()[_FOLD]
-
-
 def _later(a: tuple, b: tuple) -> tuple:
-    """Two review states of a declaration as one: the later action, then the later correction. States are rows of ``_FOLD`` without the id."""
+    """Two review states of a declaration as one: the later action, then the later correction. The rule of :func:`review_states`, for two rows without the id."""
     action = max(a, b, key=lambda r: r[:2])
     fix = max(a, b, key=lambda r: (bool(r[5]), *r[6:8]))
     return (*action[:5], *fix[5:])
 
 
-def review_states(actions: DataFrame, idle_ms: int = 600_000) -> DataFrame:
+def review_states(actions: DataFrame, idle: str = "10 minutes") -> DataFrame:
     """STA2 as a stream: the review state of each declaration that a micro-batch touches (update mode).
 
-    Actions may come in any order: what counts is event time, then action id. Each task first reduces its rows to one a
-    declaration, so a declaration with very many actions is no hot key. The state of a declaration is one row and leaves after ``idle_ms`` without
-    actions; later actions start a new state, and :func:`merge_reviews` sets that against what the table holds. So nothing is
-    lost to lateness, and the state holds only declarations under review.
+    Actions may come in any order: what counts is event time, then action id. It is an aggregate of two maxima, so each task first reduces its
+    rows to one a declaration, and a declaration with very many actions is no hot key. The watermark follows arrival, so no action is late: the
+    state of a declaration is one row for each span of ``idle`` in which actions came, and leaves ``idle`` after its end. Later actions start a
+    new state, and :func:`merge_reviews` sets that against what the table holds. So nothing is lost to lateness, and the state holds only
+    declarations under review.
     """
     fixed = F.col("action") == "CORRECTED"
-    t = F.unix_micros(F.col("acted_at").cast("timestamp"))
+    t, action_id = F.unix_micros(F.col("acted_at").cast("timestamp")).alias("t"), F.col("action_id").cast("long").alias("action_id")
     flat = valid_actions(actions).where("declaration_id IS NOT NULL AND acted_at IS NOT NULL AND action_id IS NOT NULL").select(
-        F.col("declaration_id").cast("string").alias("declaration_id"), t.alias("t"), F.col("action_id").cast("long").alias("action_id"), "action", "value",
-        F.col("reviewed_by").cast("string").alias("reviewed_by"), fixed.alias("fixed"), F.when(fixed, t).otherwise(0).alias("fix_t"),
-        F.when(fixed, F.col("action_id").cast("long")).otherwise(0).alias("fix_id"), F.when(fixed, F.col("value")).alias("fix_value"))
-
-    def reduced(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                yield _newest(part)
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get if state.exists else None
-        for part in parts:
-            for row in zip(*(part[c].tolist() for c in _FOLD[1:])):
-                last = row if last is None else _later(last, row)
-        last = tuple(None if x is None or x != x else x for x in last)
-        state.update(last)
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame([(*key, *last)], columns=_FOLD)
-
-    schema = f"declaration_id string, {_STATE}"
-    return flat.mapInPandas(reduced, schema).groupBy("declaration_id").applyInPandasWithState(fold, schema, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+        F.col("declaration_id").cast("string").alias("declaration_id"), F.current_timestamp().alias("__arrived"),
+        F.struct(t, action_id, "action", "value", F.col("reviewed_by").cast("string").alias("reviewed_by")).alias("last"),
+        F.when(fixed, F.struct(t, action_id, "value")).alias("fix"))
+    folded = flat.withWatermark("__arrived", idle).groupBy(F.window("__arrived", idle), "declaration_id").agg(F.max("last").alias("last"), F.max("fix").alias("fix"))
+    none = F.lit(0).cast("long")
+    return folded.select(
+        "declaration_id", "last.*", F.col("fix").isNotNull().alias("fixed"), F.coalesce("fix.t", none).alias("fix_t"),
+        F.coalesce("fix.action_id", none).alias("fix_id"), F.col("fix.value").alias("fix_value"))
 
 
 #: Columns of the table that :func:`merge_reviews` keeps: the fold of each declaration, as ``operators.review.fold_actions`` gives it.

@@ -1,8 +1,9 @@
-"""Consolidation carries the columns that are read, and decides the same with them."""
+"""Consolidation carries the columns that are read, and decides the same with them; reviews are folded without Python."""
 
 from packlens.functions import fixed_values as V
 from packlens.operators import consolidate as C
 from packlens.operators import extract as E
+from packlens.streaming import streams as ST
 
 LABEL = ("breakdown.has_explicit_label", "normalized.is_multipack")
 DECIDING = (*LABEL, *[f"breakdown.{c}_confidence" for c in V.AUTO_RESOLVE_MIN], "normalized.value", "normalized.name", "raw_text", "raw_value", "x1", "y1", "x2", "y2")
@@ -37,3 +38,10 @@ def test_merged_rows_hold_what_was_named(make_blocks):
     assert thin.schema["normalized"].dataType.names == ["is_multipack"] and thin.schema["breakdown"].dataType.names == ["has_explicit_label"]
     whole = C.merge_same_value(C.arbitrate(found))
     assert {"raw_text", "normalized", "breakdown"} <= set(whole.columns)
+
+
+def test_reviews_are_folded_without_python(spark, tmp_path):
+    schema = "declaration_id long, action string, value string, reviewed_by string, acted_at timestamp, action_id long"
+    states = ST.review_states(spark.readStream.schema(schema).parquet(str(tmp_path)))
+    assert "InPandas" not in states._jdf.queryExecution().analyzed().toString()
+    assert states.columns == ["declaration_id", "t", "action_id", "action", "value", "reviewed_by", "fixed", "fix_t", "fix_id", "fix_value"]
